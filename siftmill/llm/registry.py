@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftmill.llm import automaton_dedup, ball_simhash, bradley_terry, hyperdim_lang, lsm_dedup, pivot_index, slack_packing, systematic_mix
+from siftmill.llm import automaton_dedup, ball_simhash, bradley_terry, hyperdim_lang, license_zstd, lsm_dedup, pii_crf, pivot_index, slack_packing, systematic_mix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     functions = (
         bradley_terry.op1_bradley_terry,
         slack_packing.op2_slack_packing,
+        pii_crf.op3_pii_crf,
         lsm_dedup.op4_exact_dedup,
         systematic_mix.op5_systematic_mix,
         pivot_index.op6_pivot_index,
         automaton_dedup.op7_automaton_dedup,
+        license_zstd.op8_license_zstd,
         hyperdim_lang.op9_hyperdim_lang,
         ball_simhash.op10_ball_simhash,
     )
