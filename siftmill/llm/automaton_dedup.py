@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.llm.storage import documents, written
+from siftmill.llm.storage import documents, release_shuffles, written
 
 WIDTH, GRAM = 13, 5
 #: Routes of more documents are cut up: a window of theirs is its own piece.
@@ -133,25 +133,46 @@ def _first_documents(batches: Iterator[pd.DataFrame], width: int, shard_words: i
             automaton.add(words, document)
         automaton.settle()
         firsts = [[first for size, first in automaton.matches(words, width) if size == width] for _, _, words, _ in shard]
-        return pd.DataFrame({"route": [s[0] for s in shard], "piece_id": [s[1] for s in shard], "firsts": firsts})
-
-    shard, size, route = [], 0, None
-    for batch in batches:
-        for now, piece_id, piece, document in zip(batch["route"], batch["piece_id"], batch["piece"], batch["document"]):
-            if now != route and size >= shard_words:
-                yield resolve(shard)
-                shard, size = [], 0
-            route, words = now, piece.encode().split(b" ")
-            shard.append((now, piece_id, words, document))
-            size += len(words)
+        return told(shard, firsts)
+
+    def told(pieces: list, firsts: list) -> pd.DataFrame:
+        return pd.DataFrame({"route": [s[0] for s in pieces], "piece_id": [s[1] for s in pieces], "firsts": firsts})
+
+    def routes() -> Iterator[list[tuple[int, int, list[bytes], object]]]:
+        own: list = []
+        for batch in batches:
+            for now, piece_id, piece, document in zip(batch["route"], batch["piece_id"], batch["piece"], batch["document"]):
+                if own and now != own[0][0]:
+                    yield own
+                    own = []
+                own.append((now, piece_id, piece.encode().split(b" "), document))
+        if own:
+            yield own
+
+    shard, size, alone = [], 0, []
+    for pieces in routes():
+        if len(pieces) == 1:  # the piece is all its route has: each of its windows first starts where it does
+            alone += pieces
+        else:
+            shard += pieces
+            size += sum(len(p[2]) for p in pieces)
+        if size >= shard_words:
+            yield resolve(shard)
+            shard, size = [], 0
+        if len(alone) >= 10_000:
+            yield told(alone, [[p[3]] * (len(p[2]) - width + 1) for p in alone])
+            alone = []
     if shard:
         yield resolve(shard)
+    if alone:
+        yield told(alone, [[p[3]] * (len(p[2]) - width + 1) for p in alone])
 
 
 def repeated_words_removed(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, busy: int = BUSY, shard_words: int = SHARD_WORDS,
+    with_text: bool = True,
 ) -> DataFrame:
-    """(id, n_words, n_removed, kept_text, kept_sha256) of every row.
+    """(id, n_words, n_removed, kept_sha256 and, ``with_text``, kept_text) of every row.
 
     A word goes if a window over it also starts in a document with a smaller identifier. NULL and empty
     texts have no words (kept_text is empty, its digest that of the empty string); texts shorter than a
@@ -177,6 +198,7 @@ def repeated_words_removed(
 
     routed = known.mapInPandas(routes, f"route long, id {kind}")
     again = written(routed.groupBy("route").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("route", (F.col("n") > busy).alias("busy")), "routes")
+    release_shuffles(docs.sparkSession)
     candidates = routed.join(again, "route").groupBy("id").agg(
         F.collect_list(F.when(~F.col("busy"), F.col("route"))).alias("quiet"), F.collect_list(F.when(F.col("busy"), F.col("route"))).alias("busy")
     )
@@ -207,11 +229,14 @@ def repeated_words_removed(
             yield pd.DataFrame(out)
 
     found = with_routes.mapInPandas(pieces, f"route long, piece string, id {kind}, text_key long, start int").withColumn("piece_id", F.xxhash64("piece"))
+    found = written(found, "pieces", compression="zstd")
+    release_shuffles(docs.sparkSession)
     references = found.groupBy("route", "piece_id", "piece").agg(F.min("id").alias("document"))
     shards = references.repartition("route").sortWithinPartitions("route", "piece_id")
     firsts = written(
         shards.mapInPandas(lambda batches: _first_documents(batches, width, shard_words), f"route long, piece_id long, firsts array<{kind}>"), "firsts"
     )
+    release_shuffles(docs.sparkSession)
     later = F.filter(F.transform("firsts", lambda first, i: F.when(first < F.col("id"), F.col("start") + i)), lambda x: x.isNotNull())
     hits = found.select("route", "piece_id", "id", "text_key", "start").join(firsts, ["route", "piece_id"]).select("id", "text_key", later.alias("starts")).where(F.size("starts") > 0)
     removed = hits.groupBy("id").agg(F.collect_list(F.struct("text_key", "starts")).alias("removed"))
@@ -235,12 +260,14 @@ def repeated_words_removed(
                     gone = np.cumsum(edge[:n]) > 0
                     words = [w for w, g in zip(words, gone) if not g]
                 kept = b" ".join(words)
-                rows.append((n, n - len(words), kept.decode(), hashlib.sha256(kept).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_text", "kept_sha256"]).assign(id=batch["id"])
+                rows.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), *([kept.decode()] if with_text else [])))
+            yield pd.DataFrame(rows, columns=names).assign(id=batch["id"])
 
-    return judged.mapInPandas(clean, f"id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string").withColumnRenamed("id", id_col)
+    names = ["n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])]
+    schema = f"id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    return judged.mapInPandas(clean, schema).withColumnRenamed("id", id_col)
 
 
 def op7_automaton_dedup(spark, sf_dir: str) -> DataFrame:
-    cleaned = repeated_words_removed(documents(spark, sf_dir, "doc_id", "text"))
+    cleaned = repeated_words_removed(documents(spark, sf_dir, "doc_id", "text"), with_text=False)
     return cleaned.select("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -94,7 +94,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     linked = classes.join(roots, classes["fp"] == roots["node"]).select("fp", "root", "least")
     lowest = linked.groupBy("root").agg(F.min("least").alias("lowest"))
     moved = linked.join(lowest, "root").select("fp", "lowest")
-    component = classes.join(moved, "fp", "left").select("fp", F.coalesce("lowest", "least").alias("component_id"))
+    # written, so that the last join deals both sides anew and a frequent fingerprint can be split
+    component = written(classes.join(moved, "fp", "left").select("fp", F.coalesce("lowest", "least").alias("component_id")), "components")
     return prints.join(component, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

@@ -104,11 +104,12 @@ def exact_dedup(
 
     # texts of possible hits, against the one text that stays
     hits = _may_hit(rows, _bit_filter(several, filter_bits), filter_bits).join(several, "digest").where("id IS NOT NULL AND keep_id IS NOT NULL")
-    stays = hits.where("id = keep_id").select(F.col("id").alias("stay_id"), F.col("digest").alias("stay_digest"), F.col("text").alias("stay_text")).dropDuplicates(["stay_id", "stay_digest"])
+    stays = hits.where("id = keep_id").select(F.col("id").alias("stay_id"), F.col("digest").alias("stay_digest"), F.col("text").alias("stay_text"))
+    # a semi join on two bare sides: adaptive execution can split a large group of copies
+    same = (F.col("keep_id") == F.col("stay_id")) & (F.col("digest") == F.col("stay_digest"))
     differs = written(
-        hits.where("id <> keep_id")
-        .join(stays, (F.col("keep_id") == F.col("stay_id")) & (F.col("digest") == F.col("stay_digest")))
-        .where("text <> stay_text").select("id", "digest", "text"),  # strings compare by their bytes
+        hits.where("id <> keep_id").join(stays, same & (F.col("text") != F.col("stay_text")), "left_semi")  # strings compare by their bytes
+        .select("id", "digest", "text"),
         "collisions",
     )
     joined = keys.join(merged, "digest", "left")
