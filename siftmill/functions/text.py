@@ -32,6 +32,84 @@ def bm25_tokens(text: Column) -> Column:
     )
 
 
+def word_tokens(text: Column) -> Column:
+    """Runs of letters, digits and underscores (Unicode), lower-cased; repeats stay."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
+
+
+def sentences(text: Column) -> Column:
+    """Parts between white space that follows a full stop, exclamation or question mark; empty parts go."""
+    return F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
+
+
+def code_share(text: Column) -> Column:
+    """Share of characters inside fences, the fence lines included.
+
+    A text may start inside a fence: with an odd number of fence lines the larger of both readings counts.
+    """
+    lines = F.regexp_extract_all(text, F.lit(r"[^\n]*\n|[^\n]+$"), F.lit(0))
+    is_fence = lambda line: F.ltrim(line).startswith("```") | F.ltrim(line).startswith("~~~")
+    start = F.struct(F.lit(0).alias("fences"), F.lit(0).alias("odd"), F.lit(0).alias("even"), F.lit(0).alias("marks"))
+
+    def step(acc: Column, line: Column) -> Column:
+        n, fence = F.char_length(line), is_fence(line)
+        inside = F.pmod(acc["fences"], F.lit(2)) == 1
+        return F.struct(
+            (acc["fences"] + fence.cast("int")).alias("fences"),
+            (acc["odd"] + F.when(~fence & inside, n).otherwise(0)).alias("odd"),
+            (acc["even"] + F.when(~fence & ~inside, n).otherwise(0)).alias("even"),
+            (acc["marks"] + F.when(fence, n).otherwise(0)).alias("marks"),
+        )
+
+    def finish(acc: Column) -> Column:
+        code = F.when(F.pmod(acc["fences"], F.lit(2)) == 1, F.greatest(acc["odd"], acc["even"])).otherwise(acc["odd"])
+        return (code + acc["marks"]).cast("double") / F.greatest(F.char_length(text), F.lit(1))
+
+    return F.aggregate(lines, start, step, finish)
+
+
+# Names and formats of credentials.
+_SECRET_NAME = (
+    r"(?:secret|secret[_-]?key|password|passwd|api[_-]?key|access[_-]?key|private[_-]?key|account[_-]?key"
+    r"|(?:access|auth|refresh|session|api)[_-]?token)"
+)
+REDACTED = "[redacted]"
+REDACTIONS = (
+    (r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|$)", REDACTED),
+    (r"\b([A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s/:@]+):[^\s/@]+@", "$1:" + REDACTED + "@"),
+    (r"(?i)\b(bearer\s+)(?=[\w.~+/=-]*\d)[\w.~+/=-]{8,}", "$1" + REDACTED),
+    (r"(?i)(?<![\w-])([\w-]*" + _SECRET_NAME + r"[\"']?\s*[:=]\s*[\"']?)[^\s\"',;&}]+", "$1" + REDACTED),
+    (
+        r"\b(?:sk-[\w-]{16,}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|AKIA[0-9A-Z]{16}"
+        r"|xox[abposr]-[A-Za-z0-9-]{10,}|AIza[\w-]{30,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,})", REDACTED,
+    ),
+)
+
+
+def redact(text: Column) -> Column:
+    """Credentials replaced, the patterns applied in their order."""
+    for pattern, replacement in REDACTIONS:
+        text = F.regexp_replace(text, F.lit(pattern), F.lit(replacement))
+    return text
+
+
+# Fixed value: how a citation looks.
+CITATION = r"\[\s*\d+(?:\s*,\s*\d+)*\s*\]"
+
+
+def citation_indices(answer: Column) -> Column:
+    """The numbers cited as [1] or [1, 2], each once, in order of first appearance."""
+    inner = F.transform(F.regexp_extract_all(answer, F.lit(CITATION), F.lit(0)), lambda m: F.split(F.regexp_replace(m, r"[\[\]\s]", ""), ","))
+    return F.array_distinct(F.transform(F.flatten(inner), lambda n: n.cast("int")))
+
+
+def answer_completeness(answer: Column) -> Column:
+    """Share of sentences that carry a citation; 0 without a sentence."""
+    parts = sentences(answer)
+    cited = F.size(F.filter(parts, lambda s: F.regexp_like(s, F.lit(CITATION))))
+    return F.coalesce(F.try_divide(cited.cast("double"), F.size(parts)), F.lit(0.0))
+
+
 def fixed_windows(text: Column, size: int = 800, overlap: int = 120) -> Column:
     """Windows of ``size`` code points every ``size - overlap``; the first to reach the end is the last."""
     if not 0 <= overlap < size:
