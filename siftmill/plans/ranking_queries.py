@@ -86,7 +86,7 @@ def memory_topk_per_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TOPK_SQL = f"""WITH d AS (SELECT a.label, a.vec_id, 1 - {COS} AS distance FROM embeddings a, embeddings b WHERE b.vec_id = 0)
-SELECT label, vec_id, row_number() OVER w AS rank, round(distance, 8) AS distance FROM d QUALIFY rank <= 3 WINDOW w AS (PARTITION BY label ORDER BY distance, vec_id)"""
+SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) AS rank, round(distance, 8) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY label ORDER BY d.distance, vec_id) <= 3"""
 
 
 def semantic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
