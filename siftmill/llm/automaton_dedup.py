@@ -3,7 +3,8 @@
 A window is ``width`` consecutive words. Streaming every document against the automaton of every shard
 would read the corpus once a shard, so a window is routed by its content: its route is the least hash of
 the word k-grams in it, which equal windows share and most neighbours too. Routes met in one document only
-cannot hold a repetition and go no further. A maximal run of windows with one route is a piece; the
+cannot hold a repetition and go no further: a bit filter of bounded size tells them apart, or a join where
+there are too many for it. A maximal run of windows with one route is a piece; the
 different pieces of a route, with the least document of each, are the reference of its shard. The shard's
 task builds their generalized suffix automaton and streams the pieces through it: where the match is at
 least a window long, the state gives the first document that has the window. Routes of very many documents
@@ -26,11 +27,14 @@ from siftmill.llm.storage import documents, release_shuffles, written
 WIDTH, GRAM = 13, 5
 #: Routes of more documents are cut up: a window of theirs is its own piece.
 BUSY = 1000
+#: Repeated routes up to this many go to the tasks as a bit filter of at most 32 MB; more are joined.
+FILTER_ROUTES = 1 << 25
 #: Words in one automaton at most, but for a single route.
 SHARD_WORDS = 50_000
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _BASE = 0x100000001B3
+_CHUNK = 4096  # bytes of one bitmap
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -63,6 +67,25 @@ def _runs(routes: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(np.diff(routes)) + 1, [len(routes)]))
 
 
+def _filter(routes: DataFrame, bits: int) -> np.ndarray:
+    """A bit a route, by its low bits: ``bits`` / 8 bytes whatever the number of rows."""
+    at = F.pmod("route", F.lit(bits))
+    rows = (
+        routes.groupBy(F.floor(at / (8 * _CHUNK)).alias("chunk"))
+        .agg(F.bitmap_construct_agg((at % (8 * _CHUNK)).cast("long")).alias("bitmap")).collect()  # at most bits / 8 bytes
+    )
+    out = np.zeros(max(bits // 8, _CHUNK), np.uint8)
+    for r in rows:
+        out[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(bytes(r["bitmap"]), np.uint8)
+    return out
+
+
+def _set(routes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Whether the bit of each route is set."""
+    at = routes & np.int64(len(bitmap) * 8 - 1)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
 class SuffixAutomaton:
     """Generalized suffix automaton over words; a state keeps the least document of its strings."""
 
@@ -170,7 +193,7 @@ def _first_documents(batches: Iterator[pd.DataFrame], width: int, shard_words: i
 
 def repeated_words_removed(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, busy: int = BUSY, shard_words: int = SHARD_WORDS,
-    with_text: bool = True,
+    with_text: bool = True, filter_routes: int = FILTER_ROUTES,
 ) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256 and, ``with_text``, kept_text) of every row.
 
@@ -199,10 +222,18 @@ def repeated_words_removed(
     routed = known.mapInPandas(routes, f"route long, id {kind}")
     again = written(routed.groupBy("route").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("route", (F.col("n") > busy).alias("busy")), "routes")
     release_shuffles(docs.sparkSession)
-    candidates = routed.join(again, "route").groupBy("id").agg(
-        F.collect_list(F.when(~F.col("busy"), F.col("route"))).alias("quiet"), F.collect_list(F.when(F.col("busy"), F.col("route"))).alias("busy")
-    )
-    with_routes = known.join(candidates.select(F.col("id").alias("_id"), "quiet", "busy"), F.col("id") == F.col("_id")).select("id", "text", "quiet", "busy")
+    repeated = again.count()
+    if repeated <= filter_routes:
+        # a bit may stand for several routes: a piece too many is its route's only one and harmless
+        bits = max(8 * _CHUNK, 1 << (8 * repeated).bit_length())
+        held = docs.sparkSession.sparkContext.broadcast((_filter(again, bits), _filter(again.where("busy"), bits)))
+        with_routes = known.withColumns({"quiet": F.lit(None).cast("array<bigint>"), "busy": F.lit(None).cast("array<bigint>")})
+    else:
+        held = None
+        candidates = routed.join(again, "route").groupBy("id").agg(
+            F.collect_list(F.when(~F.col("busy"), F.col("route"))).alias("quiet"), F.collect_list(F.when(F.col("busy"), F.col("route"))).alias("busy")
+        )
+        with_routes = known.join(candidates.select(F.col("id").alias("_id"), "quiet", "busy"), F.col("id") == F.col("_id")).select("id", "text", "quiet", "busy")
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -214,8 +245,12 @@ def repeated_words_removed(
                 own_routes, hashes = _routes(words, width, gram)
                 bounds = _runs(own_routes)
                 starts, stops = bounds[:-1], bounds[1:]
-                is_quiet = np.isin(own_routes[starts], quiet)
-                singles = np.flatnonzero(np.isin(own_routes, hot))
+                if held is not None:
+                    is_busy = _set(own_routes, held.value[1])
+                    is_quiet = (_set(own_routes, held.value[0]) & ~is_busy)[starts]
+                else:
+                    is_busy, is_quiet = np.isin(own_routes, hot), np.isin(own_routes[starts], quiet)
+                singles = np.flatnonzero(is_busy)
                 spans = [(int(own_routes[a]), int(a), int(b)) for a, b in zip(starts[is_quiet], stops[is_quiet])]
                 if len(singles):
                     by_window = _rolled(hashes, width).view(np.int64)

@@ -66,8 +66,8 @@ def brute_repeats(rows, width=13):
     return out
 
 
-@pytest.mark.parametrize("busy", [1000, 3])
-def test_repeats(spark, busy):
+@pytest.mark.parametrize("busy, filter_routes", [(1000, 1 << 20), (3, 1 << 20), (3, 0)])
+def test_repeats(spark, busy, filter_routes):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in df.collect()]
     rng = np.random.default_rng(0)
@@ -77,7 +77,7 @@ def test_repeats(spark, busy):
     rows += [(6000 + i, f"{i} before {passage if i % 3 else passage[: 90 + i]} after {i}") for i in range(30)]
     rows += [(7000, "a " * 300), (7001, "a " * 40), (7002, None), (7003, ""), (None, passage), (7004, passage.upper()), (7004, passage), (7005, "x y " * 20), (7006, "x y " * 20)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in automaton_dedup.repeated_words_removed(df, busy=busy, shard_words=2000).collect()]
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in automaton_dedup.repeated_words_removed(df, busy=busy, shard_words=2000, filter_routes=filter_routes).collect()]
     key = lambda r: (r[0] is None, r[0] or 0, r[1:])
     assert sorted(got, key=key) == sorted(brute_repeats(rows), key=key)
     assert automaton_dedup.repeated_words_removed(df.limit(0)).count() == 0
