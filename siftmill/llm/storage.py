@@ -27,15 +27,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/siftmill/{name}-{uuid.uuid4().hex}"
 
 
+def written_at(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
+    """The rows of ``df``, written once as Parquet in the shared folder and read back, and their path."""
+    path = new_path(df.sparkSession, name)
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """The rows of ``df``, written once as Parquet in the shared folder and read back.
 
     It cuts the lineage (a lost executor costs no recomputing beyond this table) and keeps a costly
     column from being computed by each of its readers.
     """
-    path = new_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written_at(df, name, **options)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that nothing reads any more, on whatever file system it lies."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release_shuffles(spark: SparkSession) -> None:
