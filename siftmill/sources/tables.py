@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -19,3 +22,19 @@ def register_views(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = TA
     """Temporary views under the table names, for SQL text."""
     for name in names:
         read_table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in ``spark.checkpoint.dir``; that is set to a temporary folder only where it is unset."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        at = tempfile.mkdtemp(prefix="siftmill-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return f"{at.rstrip('/')}/siftmill/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df``, written once as Parquet in the shared folder and read back: it cuts the lineage."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
