@@ -49,7 +49,7 @@ def similar_pairs(rows: DataFrame, group: list[str], id_col: str, vector_col: st
             side = part["block"].to_numpy()
             close &= side[:, None] != side[None, :]
         a, b = np.nonzero(close)
-        out = {n: [part[n].iloc[0]] * len(a) for n in names}
+        out = {n: pd.Series([part[n].iloc[0]] * len(a), dtype=object) for n in names}  # pandas' own string type comes in chunks
         return pd.DataFrame(out | {"a": part["id"].to_numpy()[a], "b": part["id"].to_numpy()[b]})
 
     pairs = dealt.groupBy(*names, "low", "high").applyInPandas(compare, schema)
