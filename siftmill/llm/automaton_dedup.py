@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.llm.storage import documents, release_shuffles, remove, written, written_at
+from siftmill.llm.storage import documents, remove, written, written_at
 
 WIDTH, GRAM = 13, 5
 #: Routes of more documents are cut up: a window of theirs is its own piece.
@@ -221,7 +221,6 @@ def repeated_words_removed(
 
     routed = known.mapInPandas(routes, f"route long, id {kind}")
     again = written(routed.groupBy("route").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("route", (F.col("n") > busy).alias("busy")), "routes")
-    release_shuffles(docs.sparkSession)
     repeated = again.count()
     if repeated <= filter_routes:
         # a bit may stand for several routes: a piece too many is its route's only one and harmless
@@ -265,19 +264,16 @@ def repeated_words_removed(
 
     found = with_routes.mapInPandas(pieces, f"route long, piece string, id {kind}, text_key long, start int").withColumn("piece_id", F.xxhash64("piece"))
     found, found_at = written_at(found, "pieces", compression="zstd")
-    release_shuffles(docs.sparkSession)
     references = found.groupBy("route", "piece_id", "piece").agg(F.min("id").alias("document"))
     shards = references.repartition("route").sortWithinPartitions("route", "piece_id")
     firsts, firsts_at = written_at(
         shards.mapInPandas(lambda batches: _first_documents(batches, width, shard_words), f"route long, piece_id long, firsts array<{kind}>"), "firsts"
     )
-    release_shuffles(docs.sparkSession)
     later = F.filter(F.transform("firsts", lambda first, i: F.when(first < F.col("id"), F.col("start") + i)), lambda x: x.isNotNull())
     hits = found.select("route", "piece_id", "id", "text_key", "start").join(firsts, ["route", "piece_id"]).select("id", "text_key", later.alias("starts")).where(F.size("starts") > 0)
     hits = written(hits, "hits")
     remove(docs.sparkSession, found_at)  # before the texts are shuffled
     remove(docs.sparkSession, firsts_at)
-    release_shuffles(docs.sparkSession)
     removed = hits.groupBy("id").agg(F.collect_list(F.struct("text_key", "starts")).alias("removed"))
     judged = known.join(removed.select(F.col("id").alias("_id"), "removed"), F.col("id") == F.col("_id"), "left").select("id", "text", "removed")
     judged = judged.unionByName(own.where("id IS NULL").select("id", "text", F.lit(None).cast(judged.schema["removed"].dataType).alias("removed")))

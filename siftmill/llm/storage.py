@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Words in the sense of the contracts: maximal runs of anything but space and the controls 9 to 13.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: Spark's setting that deletes the shuffle files of a finished query.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,10 +29,19 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written_at(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
-    """The rows of ``df``, written once as Parquet in the shared folder and read back, and their path."""
-    path = new_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    """The rows of ``df``, written once as Parquet in the shared folder and read back, and their path.
+
+    The write's own shuffle files go as soon as it ends, not when the driver's JVM next collects its plan:
+    nothing reads them once the table is there, and the phases of an operator don't add up on the disks.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -49,16 +59,6 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished jobs now.
-
-    It does so once the driver's JVM has collected their plans, which may be long after the job; an
-    operator of several written phases asks for it, so that its phases don't add up on the disks.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df
