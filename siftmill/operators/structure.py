@@ -86,7 +86,7 @@ def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     return own.mapInPandas(run, f"id {kind}, ordinal long, heading string, text string").withColumnRenamed("id", id_col)
 
 
-def _merged(parts: Column, size: int, joiner: str) -> Column:
+def merged(parts: Column, size: int, joiner: str) -> Column:
     """Neighbouring parts joined while they fit ``size``; a longer part stays alone."""
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("buffer"))
 
@@ -108,15 +108,20 @@ def _splitter(pattern: str, joiner: str, size: int):
 
     def split(piece: Column) -> Column:
         parts = F.filter(F.transform(F.split(piece, pattern), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
-        return F.when((F.char_length(piece) <= size) | (F.size(parts) <= 1), F.array(piece)).otherwise(_merged(parts, size, joiner))
+        return F.when((F.char_length(piece) <= size) | (F.size(parts) <= 1), F.array(piece)).otherwise(merged(parts, size, joiner))
 
     return split
 
 
+def cut_hard(piece: Column, size: int) -> Column:
+    """Cuts of ``size`` characters; an empty piece is one cut."""
+    last = F.greatest(F.floor((F.char_length(piece) - 1) / size), F.lit(0)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(piece, i * size + 1, F.lit(size)))
+
+
 def recursive_chunks(text: Column, size: int = 800) -> Column:
     """Pieces of at most ``size`` characters: by headings, else paragraphs, else sentences, else cut hard."""
     pieces = F.when(F.trim(text) == "", F.array().cast("array<string>")).otherwise(F.array(text))
     for pattern, joiner in LEVELS:
         pieces = F.flatten(F.transform(pieces, _splitter(pattern, joiner, size)))
-    last = lambda p: F.floor((F.char_length(p) - 1) / size).cast("int")
-    return F.flatten(F.transform(pieces, lambda p: F.transform(F.sequence(F.lit(0), last(p)), lambda i: F.substr(p, i * size + 1, F.lit(size)))))
+    return F.flatten(F.transform(pieces, lambda p: cut_hard(p, size)))

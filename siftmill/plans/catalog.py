@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siftmill.plans import (
-    evaluation_queries, log_queries, memory_queries, ranking_queries, retrieval_queries, sql_queries, stream_queries, structure_queries, text_queries,
+    evaluation_queries, log_queries, memory_queries, ranking_queries, rendering_queries, retrieval_queries, sql_queries, stream_queries, structure_queries, text_queries,
 )
 
-MODULES = (retrieval_queries, text_queries, ranking_queries, evaluation_queries, log_queries, structure_queries, memory_queries, sql_queries, stream_queries)
+MODULES = (retrieval_queries, text_queries, ranking_queries, evaluation_queries, log_queries, structure_queries, rendering_queries, memory_queries, sql_queries, stream_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
