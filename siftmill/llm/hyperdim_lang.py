@@ -64,8 +64,8 @@ class Encoder:
             known[g] = len(known)
         return np.fromiter(map(known.__getitem__, grams), np.int64, len(grams))
 
-    def encode(self, text: str | None) -> np.ndarray | None:
-        """The unit vector of a text; None without a letter."""
+    def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+        """The different n-grams of a text and their counts; None without a letter."""
         if not text:
             return None
         if self.letters is None:
@@ -83,7 +83,17 @@ class Encoder:
             part = codes[place : place + len(grams)]
             grams[: len(part)] |= part << (_WIDTH * place)
         grams, counts = np.unique(grams, return_counts=True)
-        counts = counts.astype(np.float32)
+        return grams, counts.astype(np.float32)
+
+    def encode(self, text: str | None) -> np.ndarray | None:
+        """The unit vector of a text; None without a letter."""
+        return self.bundled(self.counted(text))
+
+    def bundled(self, counted: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray | None:
+        """The unit vector of counted n-grams."""
+        if counted is None:
+            return None
+        grams, counts = counted
         total = np.zeros(self.dim, np.float32)
         step = KEPT_VECTORS // 2
         for i in range(0, len(grams), step):
@@ -93,6 +103,12 @@ class Encoder:
         return total / length if length else None
 
 
+def breadth(counts: np.ndarray) -> float:
+    """How many equally frequent n-grams tell as much as these: all of them if none repeats, few if one rules."""
+    counts = counts.astype(np.float64)
+    return float(counts.sum() ** 2 / (counts**2).sum())
+
+
 _encoders: dict[tuple[int, int], Encoder] = {}
 
 
@@ -110,7 +126,7 @@ class Profiles:
     ngram: int = NGRAM
 
     def column(self):
-        """A column function: text to struct(lang, score)."""
+        """A column function: text to struct(lang, score, breadth)."""
         languages, prototypes, ngram = self.languages, self.prototypes, self.ngram
 
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -118,17 +134,18 @@ class Profiles:
             for texts in batches:
                 found = []
                 for text in texts:
-                    vector = own.encode(text) if languages else None
+                    counted = own.counted(text) if languages else None
+                    vector = own.bundled(counted)
                     if vector is None:
-                        found.append((UNDETERMINED, 0.0))
+                        found.append((UNDETERMINED, 0.0, 0.0))
                     else:
                         cosines = prototypes @ vector
                         best = int(np.argmax(cosines))
-                        found.append((languages[best], min(1.0, max(0.0, float(cosines[best])))))
-                yield pd.DataFrame(found, columns=["lang", "score"])
+                        found.append((languages[best], min(1.0, max(0.0, float(cosines[best]))), breadth(counted[1])))
+                yield pd.DataFrame(found, columns=["lang", "score", "breadth"])
 
         run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-        return F.pandas_udf(run, T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))
+        return F.pandas_udf(run, T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("breadth", T.DoubleType())]))
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, dim: int = DIM, ngram: int = NGRAM) -> Profiles:
@@ -162,7 +179,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", output: str = "language") -> DataFrame:
-    """``docs`` with a column struct(lang, score): no join, no shuffle.
+    """``docs`` with a column struct(lang, score, breadth): no join, no shuffle.
 
     NULL, empty and letterless texts are ``und`` with score 0, as is everything if nothing was learned.
     Texts are encoded whole; on a tie the language that sorts first wins.
