@@ -1,9 +1,10 @@
 """License scans by conditional compression.
 
-Around each cue word of a text, the block as long as a template and aligned with it on that word is a
-candidate. A template is a raw zstandard dictionary: what it saves on a block's compressed size says how
-much of the block's wording it has. Templates are ranked by that reduction and the winner is confirmed by
-its exact wording differences: few words may differ, and none with a digit.
+Around each cue word of a text, the words that align best with a template are a candidate if few words are
+added, missing or changed, and none with a digit or a license's name; at the text's ends the block is what
+is there. A template is a raw zstandard dictionary: what it saves on a block's compressed size says how much
+of the block's wording it has. The candidate with the largest saving wins; the alignment alone decides what is
+a candidate, as a few words are too short for compression to tell.
 """
 
 from __future__ import annotations
@@ -49,8 +50,13 @@ TEMPLATES = {
     "CC0-1.0": ["Released under CC0 1.0."],
 }
 
-#: Largest share of a template's words that may differ, and the least reduction of a winner.
-MAX_DIFFERENT, LEAST_REDUCTION = 0.1, 0.3
+#: Largest share of a template's words that may differ (one word may in any template).
+MAX_DIFFERENT = 0.1
+
+#: Words that tell licenses apart: another one of these is another license, not a difference in wording.
+NAMES = frozenset(
+    "apache mit gnu general public lesser library affero mozilla bsd cc by-sa by-nc by-nd by-nc-sa by-nc-nd creative commons attribution-noncommercial".split()
+)
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _CUE = re.compile(r"licen[sc]|released|permission|redistribut|subject", re.I)
@@ -61,6 +67,11 @@ def plain(word: str) -> str:
     return word.lower().strip("().,;:!?\"'")
 
 
+def misspelt(own: str, word: str) -> bool:
+    """Whether a word is a license's name with a slip, not another name."""
+    return word not in NAMES and abs(len(own) - len(word)) <= 2 and difflib.SequenceMatcher(None, own, word).ratio() >= 0.8
+
+
 class Scanner:
     """Templates with their compressors; one a worker."""
 
@@ -73,36 +84,62 @@ class Scanner:
                 dictionary = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 dictionary.precompute_compress(level=3)
                 packer = zstandard.ZstdCompressor(dict_data=dictionary, write_content_size=False)
-                cue = next(i for i, w in enumerate(words) if _CUE.search(w))
-                self.templates.append((name, [plain(w) for w in words], cue, packer))
-
-    def confirm(self, block: list[str], words: list[str]) -> int | None:
-        """The number of wording differences; None if they are too many or one holds a digit."""
-        different = 0
-        for kind, a, b, c, d in difflib.SequenceMatcher(None, words, block, autojunk=False).get_opcodes():
-            if kind != "equal":
-                different += max(b - a, d - c)
-                if different > MAX_DIFFERENT * len(words) or any(ch.isdigit() for w in words[a:b] + block[c:d] for ch in w):
-                    return None
-        return different
+                cues = [i for i, w in enumerate(words) if _CUE.search(w)]
+                own = [plain(w) for w in words]
+                most = max(1, int(MAX_DIFFERENT * len(own)))
+                fixed = [any(map(str.isdigit, w)) or w in NAMES or (w == "by" and "cc" in own) for w in own]
+                self.templates.append((name, own, fixed, most, cues, packer))
+        self.reach = max(len(own) + most for _, own, _, most, _, _ in self.templates)
+
+    @staticmethod
+    def align(own: list[str], fixed: list[bool], most: int, block: list[str]) -> tuple[int, int, int] | None:
+        """(differences, start, end) of the part of ``block`` nearest to a template's words; None beyond ``most``.
+
+        A difference is a word added, missing or changed; words of the block before and after the part are
+        free. Neither side of a difference may hold a digit or a license's name, misspellings of a name aside.
+        Of equally near parts the one nearest to the template's length, then the first, is taken.
+        """
+        far = most + 1
+        added = [far if w in NAMES or any(map(str.isdigit, w)) else 1 for w in block]
+        row = [(0, j) for j in range(len(block) + 1)]
+        for word, kept in zip(own, fixed):
+            missing = far if kept else 1
+            new = [(row[0][0] + missing, row[0][1])]
+            for j, other in enumerate(block):
+                if word == other:
+                    change = 0
+                elif not kept:
+                    change = added[j]
+                else:
+                    change = 1 if added[j] == 1 and word in NAMES and misspelt(word, other) else far
+                new.append(min((row[j][0] + change, row[j][1]), (row[j + 1][0] + missing, row[j + 1][1]), (new[j][0] + added[j], new[j][1])))
+            row = new
+            if min(row)[0] > most:
+                return None
+        cost, _, start, end = min((cost, abs(end - start - len(own)), start, end) for end, (cost, start) in enumerate(row))
+        return (cost, start, end) if cost <= most else None
 
     def best(self, words: list[str], at: int) -> tuple[str, int, int, int] | None:
         """(license, first word, end word, differences) of the winner around the cue word ``at``."""
         ranked = []
-        for name, own, cue, packer in self.templates:
-            start = at - cue
-            if start < 0 or start + len(own) > len(words):
+        wording = [plain(w) for w in words]
+        near = set(wording)
+        for name, own, fixed, most, cues, packer in self.templates:
+            if sum(w not in near for w in own) > most:
                 continue
-            block = " ".join(words[start : start + len(own)]).lower().encode()
-            alone = len(self.bare.compress(block))
-            reduction = 1 - len(packer.compress(block)) / alone
-            if reduction >= LEAST_REDUCTION:
-                ranked.append((reduction * alone, name, start, own))
-        for _, name, start, own in sorted(ranked, key=lambda r: (-r[0], r[1], r[2])):
-            different = self.confirm([plain(w) for w in words[start : start + len(own)]], own)
-            if different is not None:
-                return name, start, start + len(own), different
-        return None
+            for cue in cues:
+                low = max(0, at - cue - most)
+                hit = self.align(own, fixed, most, wording[low : max(0, at - cue + len(own) + most)])
+                if hit is None:
+                    continue
+                different, start, end = hit[0], low + hit[1], low + hit[2]
+                block = " ".join(words[start:end]).lower().encode()
+                saving = len(self.bare.compress(block)) - len(packer.compress(block))
+                ranked.append((-saving, different, name, start, end))
+        if not ranked:
+            return None
+        _, different, name, start, end = min(ranked)
+        return name, start, end, different
 
     def scan(self, text: str) -> tuple[int, list[tuple[str, int, int, int]]]:
         """Number of cue words, and (license, start, end, differences) in code points, not overlapping."""
@@ -112,12 +149,11 @@ class Scanner:
         words = [text[a:b] for a, b in spans]
         cues = [i for i, w in enumerate(words) if _CUE.search(w)]
         found, seen = [], {}
-        longest = max(len(own) for _, own, _, _ in self.templates)
         for i in cues:
-            low = max(0, i - longest)
-            key = (i - low, tuple(words[low : i + longest]))
+            low = max(0, i - self.reach)
+            key = (i - low, tuple(words[low : i + self.reach]))
             if key not in seen:
-                seen[key] = hit = self.best(words[low : i + longest], i - low)
+                seen[key] = hit = self.best(words[low : i + self.reach], i - low)
             hit = seen[key]
             if hit:
                 found.append((hit[3], low + hit[1], low + hit[2], hit[0]))

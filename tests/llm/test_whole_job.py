@@ -4,6 +4,7 @@ import sys
 sys.path.insert(0, "tests")
 
 import corpus_pipeline
+from siftmill.llm import license_zstd
 
 
 def test_short_texts_keep_their_language(spark):
@@ -21,3 +22,31 @@ def test_short_texts_keep_their_language(spark):
     more = docs.union(spark.createDataFrame(rows, docs.schema))
     kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, more, "").where("doc_id >= 1000000000").select("doc_id").collect()}
     assert len(short) > 200 and kept == {10**9 + i for i in range(len(short))}
+
+
+def test_licenses_with_one_difference(spark):
+    """One word added, missing or changed in any template is found, also as a document's last and first words."""
+    scanner = license_zstd.Scanner(license_zstd.TEMPLATES)
+    lost = []
+    for name, texts in license_zstd.TEMPLATES.items():
+        for text in texts:
+            words = text.split()
+            own, fixed, cues = next((t[1], t[2], t[4]) for t in scanner.templates if t[0] == name and t[1] == [license_zstd.plain(w) for w in words])
+            free = [i for i, f in enumerate(fixed) if not f and cues != [i]]
+            edits = [words[:i] + words[i + 1 :] for i in free] + [[*words[:i], "hereby", *words[i + 1 :]] for i in free]
+            edits += [[*words[:i], "hereby", *words[i:]] for i in range(1, len(words))]
+            for edit in edits:
+                line = " ".join(edit)
+                for whole in (line, f"Some code of ours.\n{line}", f"{line}\nAnd more text follows here."):
+                    found = scanner.scan(whole)[1]
+                    if [f[0] for f in found] != [name] or found[0][3] > 1:
+                        lost.append((name, whole, found))
+    assert not lost, (len(lost), lost[:5])
+    other = [
+        "Released under the Artistic License.", "Released under the License.", "Licensed under CC BY-NC-SA 4.0.", "Licensed under CC BY 3.0.",
+        "This work is licensed under the GNU Lesser General Public License, version 2.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+        "This Source Code Form is subject to the terms of the Eclipse Public License, v. 2.0.",
+    ]
+    assert [scanner.scan(t)[1] for t in other] == [[]] * len(other)
+    text = "This work is hereby licensed under the GNU General Public License, version 3."
+    assert [(f[0], text[f[1] : f[2]], f[3]) for f in scanner.scan(text)[1]] == [("GPL-3.0", text, 1)]
