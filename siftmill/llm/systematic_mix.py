@@ -63,18 +63,21 @@ def offset_of(source: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def systematic_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, cap: int = CAP, slices: int = SLICES) -> DataFrame:
-    """(id, size, source_size, target, copies, taken) of every row.
+def systematic_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, cap: int = CAP, slices: int = SLICES, carry: bool = False) -> DataFrame:
+    """(id, size, source_size, target, copies, taken) of every row, and with ``carry`` the row itself as struct ``row``.
 
     Size is the number of words; NULL and empty texts have size 0 and take nothing whatever their copies.
     A NULL source is a source of its own; NULL identifiers and repeated rows are numbered like other rows
     (rows equal in identifier and size swap places without effect). A source without words has target 0.
-    An empty table gives an empty result. Columns of other names are not read.
+    An empty table gives an empty result. Columns of other names are not read unless carried. Carried rows
+    without an identifier are dealt, and rows of equal identifier and size ordered, by a hash of their text.
     """
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    carried = [F.struct(*docs.columns).alias("row"), F.xxhash64(F.col(text_col)).alias("tie")] if carry else []
+    kept, ties = (["row"], ["tie"]) if carry else ([], [])
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *carried)
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), cap)
-    id_text = F.coalesce(F.col("id").cast("string"), F.lit("null"))
-    keyed = sized.select("id", "source", "size", _size_class(F.col("size")).alias("class"), _slice(id_text, slices).alias("slice"))
+    id_text = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("null"), *ties))
+    keyed = sized.select("id", "source", "size", _size_class(F.col("size")).alias("class"), _slice(id_text, slices).alias("slice"), *kept, *ties)
 
     # rows before a slice: of the classes before it in the source, and of the slices before it in the class
     cells = keyed.groupBy("source", "class", "slice").agg(F.count(F.lit(1)).alias("n"))
@@ -88,24 +91,24 @@ def systematic_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     starts = starts.join(per_source, same(starts, per_source)).select(starts["source"], "class", "slice", "start", "source_size", "target")
 
     placed = keyed.join(starts, same(keyed, starts, "class", "slice")).select(keyed["*"], "start", "source_size", "target")
-    within = Window.partitionBy("source", "class", "slice").orderBy("size", F.asc_nulls_last("id"))
+    within = Window.partitionBy("source", "class", "slice").orderBy("size", F.asc_nulls_last("id"), *ties)
     rank = F.col("start") + F.row_number().over(within)
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     crossed = placed.select(
-        "id", "size", "source_size", "target",
+        "id", "size", "source_size", "target", *kept,
         (F.floor(offset_of(F.col("source"), seed) + expected * rank) - F.floor(offset_of(F.col("source"), seed) + expected * (rank - 1))).alias("copies"),
     )
     copies = F.least(F.col("copies"), F.lit(cap)).cast("long")
-    return crossed.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return crossed.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *kept)
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it. Identifiers must not be NULL: such rows go.
+    """The rows of ``docs``, each as often as the mix takes it; no row is found again by its identifier.
 
-    Rows that share an identifier are numbered by themselves and get the most copies of any of them.
+    Rows that share an identifier, NULL or not, are numbered and taken each by itself.
     """
-    copies = systematic_copies(docs, id_col, text_col, source_col, seed).groupBy(id_col).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    return docs.join(copies, id_col).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+    copies = systematic_copies(docs, id_col, text_col, source_col, seed, carry=True).where("copies > 0")
+    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op5_systematic_mix(spark, sf_dir: str) -> DataFrame:

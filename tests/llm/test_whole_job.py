@@ -1,10 +1,14 @@
 import random
 import sys
+from collections import Counter, defaultdict
 
 sys.path.insert(0, "tests")
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from siftmill.llm import license_zstd
+from siftmill.llm import license_zstd, systematic_mix
+from siftmill.llm.storage import word_count
 
 
 def test_short_texts_keep_their_language(spark):
@@ -50,3 +54,20 @@ def test_licenses_with_one_difference(spark):
     assert [scanner.scan(t)[1] for t in other] == [[]] * len(other)
     text = "This work is hereby licensed under the GNU General Public License, version 3."
     assert [(f[0], text[f[1] : f[2]], f[3]) for f in scanner.scan(text)[1]] == [("GPL-3.0", text, 1)]
+
+
+def test_mix_keeps_rows_without_identifier(spark):
+    """Sources meet their targets with NULL and repeated identifiers, and rows keep their columns."""
+    rng = random.Random(3)
+    rows = [(None if i % 2 else i // 4, " ".join(["w"] * rng.randint(1, 40)) + f" t{i}", rng.choice(["a", "b", "c", "d", None]), i) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").repartition(5)
+    want = {r.source: r.target for r in systematic_mix.source_targets(docs.groupBy("source").agg(F.sum(word_count(F.col("text"))).alias("source_size"))).collect()}
+    got, given = systematic_mix.mix_documents(docs).collect(), {r[3]: r for r in rows}
+    taken, times = defaultdict(int), Counter(r.n_chars for r in got)
+    for r in got:
+        assert tuple(r) == given[r.n_chars]
+        taken[r.source] += len(r.text.split())
+    assert all(abs(taken[s] - want[s]) <= 2 * 41 for s in want) and max(times.values()) <= 3
+    copies = systematic_mix.systematic_copies(docs, carry=True).select("row.n_chars", "copies").collect()
+    assert len(copies) == len(rows) and {k: n for k, n in copies if n} == times
+    assert Counter(map(tuple, systematic_mix.mix_documents(docs.repartition(3)).collect())) == Counter(map(tuple, got))
