@@ -79,6 +79,16 @@ def fingerprint_links(prints: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("low"))) <= radius).select(F.col("low").alias("a"), F.col("fp").alias("b"))
 
 
+def fingerprint_components(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, root, component_id) of every fingerprint of (id, fp): root is the component's own, component_id its least id."""
+    classes = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    roots = connected_components(fingerprint_links(classes.select("fp"), radius))
+    linked = classes.join(roots, classes["fp"] == roots["node"]).select("fp", "root", "least")
+    lowest = linked.groupBy("root").agg(F.min("least").alias("lowest"))
+    moved = linked.join(lowest, "root").select("fp", "root", "lowest")
+    return classes.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("lowest", "least").alias("component_id"))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
     """(id, fingerprint, component_id) of every row.
 
@@ -89,23 +99,26 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty result. Other columns are not read.
     """
     prints = written(docs.select(F.col(id_col).alias("id"), simhash(shingle, seed)(F.col(text_col)).alias("fp")), "simhash")
-    classes = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = connected_components(fingerprint_links(classes.select("fp"), radius))
-    linked = classes.join(roots, classes["fp"] == roots["node"]).select("fp", "root", "least")
-    lowest = linked.groupBy("root").agg(F.min("least").alias("lowest"))
-    moved = linked.join(lowest, "root").select("fp", "lowest")
     # written, so that the last join deals both sides anew and a frequent fingerprint can be split
-    component = written(classes.join(moved, "fp", "left").select("fp", F.coalesce("lowest", "least").alias("component_id")), "components")
+    component = written(fingerprint_components(prints, radius).select("fp", "component_id"), "components")
     return prints.join(component, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, that of the least identifier; rows without an identifier stay."""
-    stays = simhash_groups(docs, id_col, text_col).where(f"{id_col} = component_id").select(id_col).distinct()
-    once = docs.where(F.col(id_col).isNotNull()).join(stays, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns)
-    return once.union(docs.where(F.col(id_col).isNull()))
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
+    """One document of each group, that of the least identifier; rows without an identifier stay.
+
+    A row is known by identifier and text: rows of one identifier whose texts are in different groups are
+    each judged in their own. Of a group's least identifier the text of the least digest stays, once.
+    """
+    digest = F.coalesce(F.md5(F.col(text_col)), F.lit(""))
+    prints = written(docs.select(F.col(id_col).alias("id"), digest.alias("digest"), simhash(shingle, seed)(F.col(text_col)).alias("fp")), "simhash")
+    firsts = prints.where("id IS NOT NULL").groupBy("fp").agg(F.min(F.struct("id", "digest")).alias("first"))
+    stays = firsts.join(fingerprint_components(prints, radius), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    stays = stays.select(F.col("first.id").alias(id_col), F.col("first.digest").alias("_digest"))
+    once = docs.withColumn("_digest", digest).join(stays, [id_col, "_digest"], "left_semi").dropDuplicates([id_col, "_digest"])
+    return once.select(docs.columns).union(docs.where(F.col(id_col).isNull()))
 
 
 def op10_ball_simhash(spark, sf_dir: str) -> DataFrame:

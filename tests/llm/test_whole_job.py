@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftmill.llm import license_zstd, systematic_mix
+from siftmill.llm import ball_simhash, license_zstd, systematic_mix
 from siftmill.llm.storage import word_count
 from siftmill.operators import evaluation
 from siftmill.plans import evaluation_queries
@@ -105,3 +105,14 @@ def test_paired_bootstrap(spark, monkeypatch):
     odd = spark.createDataFrame([(None, 0.5), (None, -0.25), ("a", 1.0)], "g string, d double")
     found = {r.g: tuple(r)[1:] for r in evaluation.paired_bootstrap(odd, ["g"], "d").collect()}
     assert found == {None: (2, 0.125, -0.25, 0.5), "a": (1, 1.0, 1.0, 1.0)} and evaluation.paired_bootstrap(odd.limit(0), ["g"], "d").count() == 0
+
+
+def test_near_copies_of_a_repeated_identifier(spark):
+    """Rows of one identifier with different texts are judged by their own groups; every group keeps a row."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(8)]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[1]), (3, texts[2]), (3, texts[2]), (3, texts[3]), (4, texts[3]), (5, texts[3].upper()), (6, None), (6, ""), (7, texts[4]), (None, texts[5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, ball_simhash.drop_near_copies(df).collect()), key=str)
+    want = [(1, texts[0]), (1, texts[1]), (3, texts[2]), (3, texts[3]), (6, None), (7, texts[4]), (None, texts[5])]
+    assert [g for g in got if g[0] != 6] == sorted((w for w in want if w[0] != 6), key=str) and sum(g[0] == 6 for g in got) == 1
