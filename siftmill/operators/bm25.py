@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftmill.sources.tables import written
+
 # The Okapi constants of the public rank_bm25 package.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def term_stats(docs: DataFrame, tokens: str = "tokens", id_col: str = "id") -> DataFrame:
-    """Per term: document frequency and idf; negative idf becomes EPSILON times the mean idf."""
+    """Per term: document frequency and idf; negative idf becomes EPSILON times the mean idf.
+
+    The counts of the vocabulary are written, as the mean and the rows both read them.
+    """
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     df = (
-        docs.select(id_col, F.explode(F.array_distinct(tokens)).alias("term"))
+        docs.select(F.explode(F.array_distinct(tokens)).alias("term"))
         .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     )
+    df = written(df, "vocabulary")
     raw = df.crossJoin(F.broadcast(n)).withColumn("raw_idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw_idf").alias("mean_idf"))
     return raw.crossJoin(F.broadcast(mean)).select(
@@ -24,24 +32,38 @@ def term_stats(docs: DataFrame, tokens: str = "tokens", id_col: str = "id") -> D
     )
 
 
+def term_counts(docs: DataFrame, terms: list[str], tokens: str = "tokens", id_col: str = "id") -> DataFrame:
+    """(id, length, tf): the number of tokens of each row and of each of ``terms`` among them, in their order."""
+    split = docs.select(id_col, F.coalesce(F.col(tokens), F.array().cast("array<string>")).alias("_tokens"))
+    n = F.size("_tokens")
+    return split.select(id_col, n.alias("length"), F.array(*[n - F.size(F.array_remove("_tokens", t)) for t in terms]).alias("tf"))
+
+
 def bm25_scores(docs: DataFrame, query_terms: list[str], tokens: str = "tokens", id_col: str = "id") -> DataFrame:
     """(id, score) of every document; documents without a query term score 0; repeated query terms count again.
 
-    Only the postings of the query's terms leave the scan: the term counts are taken inside each row, so
-    the one shuffle carries a row a document and not a row a token.
+    One pass over the tokens leaves a row of numbers a document, written to the shared folder. The driver
+    reads one row of corpus figures off it, so scores are plain arithmetic in the scan of that small table.
+    Only if a query term is in over half the documents is the mean idf of the whole vocabulary needed, and
+    the terms are counted in a second pass. NULL tokens count as none.
     """
-    spark = docs.sparkSession
-    weights = spark.createDataFrame([(t, float(query_terms.count(t))) for t in dict.fromkeys(query_terms)], "term string, times double")
-    stats = term_stats(docs, tokens, id_col).join(F.broadcast(weights), "term")
-    packed = stats.agg(F.collect_list(F.struct("term", "idf", "times")).alias("stats"))  # one row, of the query's length
-    avgdl = docs.agg(F.avg(F.size(tokens)).alias("avgdl"))
-    norm = F.lit(1 - B) + F.lit(B) * F.size(tokens) / F.col("avgdl")
-    tf = lambda t: F.size(F.filter(F.col(tokens), lambda x: x == t["term"])).cast("double")
-    score = F.aggregate(
-        F.array_sort("stats"), F.lit(0.0),
-        lambda acc, t: acc + t["times"] * t["idf"] * tf(t) * F.lit(K1 + 1) / (tf(t) + F.lit(K1) * norm),
-    )
-    return docs.crossJoin(F.broadcast(avgdl)).crossJoin(F.broadcast(packed)).select(id_col, score.alias("score"))
+    terms = list(dict.fromkeys(query_terms))
+    if not terms:
+        return docs.select(id_col, F.lit(0.0).alias("score"))
+    counted = written(term_counts(docs, terms, tokens, id_col), "bm25")
+    seen = [F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))]
+    corpus = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avgdl"), *seen).first()
+    idf = [math.log(corpus["n"] - corpus[f"df{i}"] + 0.5) - math.log(corpus[f"df{i}"] + 0.5) for i in range(len(terms))]
+    if min(idf) < 0:
+        df = docs.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        mean = df.agg(F.avg(F.log(F.lit(corpus["n"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("mean")).first()["mean"]
+        idf = [EPSILON * mean if x < 0 else x for x in idf]
+    norm = F.lit(1 - B) + F.lit(B / corpus["avgdl"]) * F.col("length") if corpus["avgdl"] else F.lit(1.0)
+    score = F.lit(0.0)
+    for i, term in enumerate(terms):
+        tf = F.col("tf")[i].cast("double")
+        score = score + F.lit(query_terms.count(term) * idf[i] * (K1 + 1)) * tf / (tf + F.lit(K1) * norm)
+    return counted.select(id_col, F.when(F.col("length") > 0, score).otherwise(0.0).alias("score"))
 
 
 def bm25_top_k(docs: DataFrame, query_terms: list[str], k: int = 10, tokens: str = "tokens", id_col: str = "id") -> DataFrame:

@@ -25,17 +25,39 @@ def missing(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
     return source.join(target.select(key), key, "left_anti")
 
 
-def collection_checksum(rows: DataFrame, id_col: str, row_text: Column, fan_out: int = 1024, levels: int = 3) -> DataFrame:
-    """One row: SHA-256 of a tree over the rows by integer identifier; ``fan_out`` digests a node at most.
+#: Hex digits of a row's place in the checksum's tree, by level: 16^5 leaves, 16^2 nodes above them, one root.
+TREE_DIGITS = (5, 2, 0)
 
-    A node hashes its children's digests in order, so no task ever holds the digests of all rows.
+
+def collection_checksum(rows: DataFrame, id_col: str, row_text: Column) -> DataFrame:
+    """One row: SHA-256 of a tree over all rows.
+
+    A row's leaf is named by the first digits of its identifier's MD5, whatever the identifier's type and
+    size. A leaf hashes its rows' digests in order of identifier, a node its children's in order of name;
+    leaves hold a few thousand digests for thousands of millions of rows, nodes 4,096 at most. Rows that
+    repeat an identifier are ordered by digest; NULL identifiers count as empty; without rows the digest is
+    that of the empty string. A single chain over all rows would need one task for all of them.
+    """
+    digest = lambda c: F.sha2(F.coalesce(c, F.lit("")).cast("binary"), 256)
+    now = rows.select(F.col(id_col).alias("at"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("node"), digest(row_text).alias("digest"))
+    for digits in TREE_DIGITS[:-1]:
+        ordered = F.array_sort(F.collect_list(F.struct("at", "digest")))
+        joined = F.array_join(F.transform(ordered, lambda x: x["digest"]), "")
+        now = now.groupBy(F.substring("node", 1, digits).alias("node")).agg(digest(joined).alias("digest")).select(F.col("node").alias("at"), "node", "digest")
+    ordered = F.array_sort(F.collect_list(F.struct("at", "digest")))
+    return now.agg(digest(F.array_join(F.transform(ordered, lambda x: x["digest"]), "")).alias("digest"))
+
+
+def ordered_checksums(rows: DataFrame, by: list[str], id_col: str, row_text: Column) -> DataFrame:
+    """(by..., n, digest): SHA-256 over the binary row digests of each group in order of the identifier.
+
+    One chain a group, so a group must fit a task: a digest is 32 bytes. For whole collections of any size
+    use :func:`collection_checksum`.
     """
-    now = rows.select(F.col(id_col).alias("node"), F.sha2(row_text.cast("binary"), 256).alias("digest"))
-    for _ in range(levels):
-        parent = F.floor(F.col("node") / fan_out)
-        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "digest"))), lambda x: x["digest"]), "")
-        now = now.groupBy(parent.alias("node")).agg(F.sha2(joined.cast("binary"), 256).alias("digest"))
-    return now.orderBy("node").limit(1).select("digest")
+    digest = F.unhex(F.sha2(F.coalesce(row_text, F.lit("")).cast("binary"), 256))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("at"), digest.alias("digest"))))
+    chain = F.aggregate(ordered, F.lit("").cast("binary"), lambda acc, x: F.concat(acc, x["digest"]))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sha2(chain, 256).alias("digest"))
 
 
 def task_types(calls: DataFrame, task: str, kind: str) -> DataFrame:

@@ -21,11 +21,27 @@ from siftmill.sources.tables import written
 BLOCK = 1024
 
 
-def similar_pairs(rows: DataFrame, group: list[str], id_col: str, vector_col: str, threshold: float, strict: bool = False, block: int = BLOCK) -> DataFrame:
+def _spanning(close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): each linked row b with the first row a of its component, of an upper triangle of links."""
+    reach = close | close.T | np.eye(len(close), dtype=bool)
+    least = np.arange(len(close))
+    while True:
+        lower = np.where(reach, least[None, :], len(close)).min(1)
+        lower = lower[lower]
+        if (lower == least).all():
+            break
+        least = lower
+    b = np.flatnonzero(least < np.arange(len(close)))
+    return least[b], b
+
+
+def similar_pairs(rows: DataFrame, group: list[str], id_col: str, vector_col: str, threshold: float, strict: bool = False, block: int = BLOCK, spanning: bool = False) -> DataFrame:
     """(group columns, a, b) with a < b: pairs of one group whose cosine reaches (``strict``: exceeds) the threshold.
 
     Rows with a NULL identifier or vector, or a zero vector, are in no pair. Rows must have unique identifiers
-    within their group. An empty table gives an empty result.
+    within their group. An empty table gives an empty result. ``spanning`` leaves only links that connect
+    the same rows: each row to the least one it reaches among the two blocks compared, so a crowd of n alike
+    rows gives n links a comparison and not n² / 2.
     """
     names = [f"_g{i}" for i in range(len(group))]
     own = rows.select(*[F.col(c).alias(n) for c, n in zip(group, names)], F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
@@ -48,7 +64,7 @@ def similar_pairs(rows: DataFrame, group: list[str], id_col: str, vector_col: st
         if part["low"].iloc[0] != part["high"].iloc[0]:
             side = part["block"].to_numpy()
             close &= side[:, None] != side[None, :]
-        a, b = np.nonzero(close)
+        a, b = _spanning(close) if spanning else np.nonzero(close)
         out = {n: pd.Series([part[n].iloc[0]] * len(a), dtype=object) for n in names}  # pandas' own string type comes in chunks
         return pd.DataFrame(out | {"a": part["id"].to_numpy()[a], "b": part["id"].to_numpy()[b]})
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftmill.operators.prefix import running_totals
+
 # Defaults of fusion and gating.
 RRF_K, DENSE_WEIGHT, SPARSE_WEIGHT = 60, 0.7, 0.3
 REFUSE_BELOW = {"dense": 0.617442, "hybrid": 0.963599}
@@ -63,12 +68,18 @@ def top_per_group(rows: DataFrame, group: list[str], order: list[Column], k: int
 
 
 def stratified_split(rows: DataFrame, strata: list[str], id_col: str, seed: str, dev_share: float = 0.4) -> DataFrame:
-    """``rows`` with ``split``: in each stratum the first round-half-up(share x n) by seeded hash are dev."""
-    order = F.sha2(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")), 256)
-    sizes = rows.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
-    placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*strata).orderBy(order)))
-    joined = placed.join(sizes, strata)
-    return joined.withColumn("split", F.when(F.col("_place") <= F.floor(F.col("_n") * dev_share + 0.5), "dev").otherwise("test")).drop("_n", "_place")
+    """``rows`` with ``split``: in each stratum the first round-half-up(share x n) by seeded hash are dev.
+
+    Places come from running totals over ranges of hashes, so a stratum is never in one task. Rows that
+    repeat an identifier within a stratum share its place.
+    """
+    places = rows.select(*strata, F.col(id_col).alias("_id")).distinct()
+    places = places.withColumn("_order", F.sha2(F.concat_ws(":", F.lit(seed), F.col("_id").cast("string")), 256)).withColumn("_n", F.lit(1))
+    ranked = running_totals(places, strata, ["_order"], ["_n"])
+    dev = F.col("_n_before") < F.floor(F.col("_n_total") * dev_share + 0.5)
+    told = ranked.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(strata)], "_id", F.when(dev, "dev").otherwise("test").alias("split"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(strata)], F.col(id_col).eqNullSafe(F.col("_id")))
+    return rows.join(told, same).select(*rows.columns, "split")
 
 
 def largest_remainder(counts: DataFrame, name: str, weight: str, quota: int) -> DataFrame:

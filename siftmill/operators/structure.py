@@ -13,77 +13,124 @@ from pyspark.sql import functions as F
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 TEXT_TAGS = ("p", "li", "pre", "td")
 DROPPED = ("script", "style", "nav")
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 
 
 class _Blocks(HTMLParser):
-    """Sections of a page: a heading and the text of the elements up to the next one."""
+    """The strings of a page and of each of its headings and text elements, in order of opening.
+
+    An end tag closes its element and all that is open within it; one that nothing opened is passed over.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.dropped, self.title, self.in_title = 0, "", False
-        self.open: list[tuple[str, list[str]]] = []
-        self.found: list[list] = []  # [order of opening, tag, text]
-        self.opened = 0
+        self.open: list[str] = []
+        self.strings: list[str] = []  # of the whole page, outside dropped elements
+        self.found: list[tuple[str, int, bool]] = []  # tag, first string, whether in the body
+        self.ends: dict[int, int] = {}
+        self.places: list[tuple[int, int]] = []  # depth and number of the open headings and text elements
+        self.title: list[str] | None = None
+        self.body: list[int] | None = None
+        self.run = ""
+
+    def _end_string(self):
+        text, self.run = self.run.strip(), ""
+        if not text or any(t in DROPPED for t in self.open):
+            return
+        if "title" in self.open and self.title is not None:
+            self.title.append(text)
+        self.strings.append(text)
+
+    def handle_data(self, data):
+        self.run += data
+
+    def handle_comment(self, data):
+        self._end_string()
 
     def handle_starttag(self, tag, attrs):
-        if tag in DROPPED:
-            self.dropped += 1
-        elif tag == "title":
-            self.in_title = True
+        self._end_string()
+        if tag in VOID:
+            return
+        self.open.append(tag)
+        if any(t in DROPPED for t in self.open):
+            return
+        if tag == "title" and self.title is None:
+            self.title = []
+        elif tag == "body" and self.body is None:
+            self.body = [len(self.open), len(self.strings), -1]
         elif tag in HEADINGS or tag in TEXT_TAGS:
-            self.open.append((tag, entry := [self.opened, tag, ""]))
-            self.found.append(entry)
-            self.opened += 1
+            self.places.append((len(self.open), len(self.found)))
+            self.found.append((tag, len(self.strings), self.body is not None and self.body[2] < 0))
 
     def handle_endtag(self, tag):
-        if tag in DROPPED:
-            self.dropped = max(0, self.dropped - 1)
-        elif tag == "title":
-            self.in_title = False
-        else:
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i][0] == tag:
-                    del self.open[i:]
-                    break
-
-    def handle_data(self, data):
-        if self.in_title:
-            self.title += data
-        elif not self.dropped:
-            for _, entry in self.open:
-                entry[2] += data
-
-
-def html_sections(html: str | None) -> list[tuple[str, str]]:
-    """(heading, text) of each section; the title heads what comes before the first heading."""
+        self._end_string()
+        if tag in self.open:
+            self._leave(len(self.open) - self.open[::-1].index(tag))
+
+    def _leave(self, depth: int):
+        del self.open[depth - 1 :]
+        while self.places and self.places[-1][0] >= depth:
+            self.ends[self.places.pop()[1]] = len(self.strings)
+        if self.body is not None and self.body[2] < 0 and self.body[0] >= depth:
+            self.body[2] = len(self.strings)
+
+    def close(self):
+        super().close()
+        self._end_string()
+        self._leave(1)
+
+
+def html_sections(html: str | None) -> list[tuple[str | None, tuple[str, ...], str]]:
+    """(heading, path, text) of each section of a page: headings, and the texts up to the next one a line each.
+
+    The title heads what comes before the first heading and stands first in every path; a heading closes
+    the open ones of its level and deeper; one without text only ends a section. Strings of an element are
+    joined by spaces; an element within another gives its text twice. Without any such text the whole
+    body's is one section. NULL gives none.
+    """
+    if html is None:
+        return []
     parser = _Blocks()
-    parser.feed(html or "")
+    parser.feed(html)
     parser.close()
-    out, heading, lines = [], parser.title.strip(), []
-    for _, tag, text in parser.found:
-        text = text.strip()
+    title = "".join(parser.title or ()) or None
+    out, heading, lines = [], title, []
+    path = [(0, title)] if title else []
+
+    def flush():
+        if lines:
+            out.append((heading, tuple(name for _, name in path), "\n".join(lines)))
+
+    for i, (tag, start, inside) in enumerate(parser.found):
+        text = " ".join(parser.strings[start : parser.ends[i]])
+        if parser.body is not None and not inside:
+            continue
         if tag in HEADINGS:
-            if lines:
-                out.append((heading, "\n".join(lines)))
-            heading, lines = text, []
+            flush()
+            lines = []
+            if text:
+                heading, level = text, int(tag[1])
+                path = [*(h for h in path if h[0] < level), (level, text)]
         elif text:
             lines.append(text)
-    if lines:
-        out.append((heading, "\n".join(lines)))
+    flush()
+    if not out:
+        first, last = parser.body[1:] if parser.body else (0, len(parser.strings))
+        out.append((title, (title,) if title else (), " ".join(parser.strings[first:last])))
     return out
 
 
 def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, ordinal, heading, text) of each section of each page; NULL and empty pages have none."""
+    """(id, ordinal, heading, path, text) of each section of each page; NULL pages have none."""
     own = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
     kind = own.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(i, n, heading, text) for i, html in zip(batch["id"], batch["html"]) for n, (heading, text) in enumerate(html_sections(html))]
-            yield pd.DataFrame(rows, columns=["id", "ordinal", "heading", "text"])
+            rows = [(i, n, *section) for i, html in zip(batch["id"], batch["html"]) for n, section in enumerate(html_sections(html))]
+            yield pd.DataFrame(rows, columns=["id", "ordinal", "heading", "path", "text"])
 
-    return own.mapInPandas(run, f"id {kind}, ordinal long, heading string, text string").withColumnRenamed("id", id_col)
+    return own.mapInPandas(run, f"id {kind}, ordinal long, heading string, path array<string>, text string").withColumnRenamed("id", id_col)
 
 
 def merged(parts: Column, size: int, joiner: str) -> Column:

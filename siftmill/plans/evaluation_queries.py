@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmill.operators import evaluation as E
+from siftmill.operators.prefix import nearest_ranks
 from siftmill.sources.tables import read_table
 
 
@@ -106,20 +107,9 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latency_percentiles_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest-rank percentiles of event values.
-
-    Values are first counted, so a type's rows never meet in one task: its ranks run over different values.
-    """
-    counted = read_table(spark, sf_dir, "events").where("value IS NOT NULL").groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("n"))
-    values = counted.groupBy("event_type").agg(F.array_sort(F.collect_list(F.struct("value", "n"))).alias("values"), F.sum("n").alias("n"))
-
-    def at(p: int):
-        rank = F.greatest(F.lit(1).cast("long"), F.floor((F.col("n") * p + 99) / 100))
-        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("value"))
-        step = lambda acc, v: F.struct((acc["seen"] + v["n"]).alias("seen"), F.when(acc["seen"] < rank, v["value"]).otherwise(acc["value"]).alias("value"))
-        return F.aggregate("values", start, step, lambda acc: F.round(acc["value"], 3))
-
-    return values.select("event_type", "n", *[at(p).alias(f"p{p}") for p in (50, 95, 99)])
+    """Nearest-rank percentiles of event values."""
+    found = nearest_ranks(read_table(spark, sf_dir, "events"), ["event_type"], "value", (50, 95, 99))
+    return found.select("event_type", "n", *[F.round(c, 3).alias(c) for c in ("p50", "p95", "p99")])
 
 
 LATENCY_SQL = """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)

@@ -37,15 +37,15 @@ round(sum(value), 4) AS total_cost, round(avg(value), 6) AS mean_cost, CAST(sum(
 
 
 def cost_by_task_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Costs of users by the set of tools that they called on even-numbered events."""
+    """Costs of users by the set of tools that they called."""
     calls = _calls(spark, sf_dir)
-    types = logs.task_types(calls.where("k % 10 = 0"), "task", "tool")
+    types = logs.task_types(calls, "task", "tool")
     costs = calls.groupBy("task").agg(F.sum("value").alias("usd"))
     typed = costs.join(types, "task", "left").groupBy(F.coalesce("type", F.lit("unplanned")).alias("type"))
     return typed.agg(F.count(F.lit(1)).alias("tasks"), F.round(F.sum("usd"), 4).alias("usd"), F.round(F.avg("usd"), 4).alias("avg_usd"))
 
 
-TYPE_SQL = f"""WITH {CALLS}, t AS (SELECT task, array_to_string(list_sort(list(DISTINCT tool)), '+') AS type FROM c WHERE k % 10 = 0 GROUP BY task),
+TYPE_SQL = f"""WITH {CALLS}, t AS (SELECT task, array_to_string(list_sort(list(DISTINCT tool)), '+') AS type FROM c GROUP BY task),
 u AS (SELECT task, sum(value) AS usd FROM c GROUP BY task)
 SELECT coalesce(type, 'unplanned') AS type, count(*) AS tasks, round(sum(usd), 4) AS usd, round(avg(usd), 4) AS avg_usd FROM u LEFT JOIN t USING (task) GROUP BY 1"""
 
@@ -192,12 +192,21 @@ def collection_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.collection_checksum(read_table(spark, sf_dir, "documents"), "doc_id", text)
 
 
-CHECKSUM_SQL = """WITH a AS (SELECT doc_id AS node, sha256(doc_id || '|' || coalesce(text, '')) AS digest FROM documents),
-b AS (SELECT node // 1024 AS node, sha256(string_agg(digest, '' ORDER BY a.node)) AS digest FROM a GROUP BY 1),
-c AS (SELECT node // 1024 AS node, sha256(string_agg(digest, '' ORDER BY b.node)) AS digest FROM b GROUP BY 1)
+CHECKSUM_SQL = """WITH a AS (SELECT doc_id, md5(doc_id::VARCHAR) AS node, sha256(doc_id || '|' || coalesce(text, '')) AS digest FROM documents),
+b AS (SELECT left(node, 5) AS node, sha256(string_agg(digest, '' ORDER BY a.doc_id)) AS digest FROM a GROUP BY 1),
+c AS (SELECT left(b.node, 2) AS node, sha256(string_agg(digest, '' ORDER BY b.node)) AS digest FROM b GROUP BY 1)
 SELECT sha256(string_agg(digest, '' ORDER BY node)) AS digest FROM c"""
 
 
+def source_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ordered checksum of each source's documents."""
+    text = F.concat_ws("|", F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")))
+    return logs.ordered_checksums(read_table(spark, sf_dir, "documents"), ["source"], "doc_id", text)
+
+
+SOURCE_CHECKSUM_SQL = """SELECT source, count(*) AS n, sha256(unhex(string_agg(sha256(doc_id || '|' || coalesce(text, '')), '' ORDER BY doc_id))) AS digest FROM documents GROUP BY source"""
+
+
 def memory_expire(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' events of a type as a memory: its importance on 2024-03-15 and whether it expires."""
     used = _calls(spark, sf_dir).groupBy("task", "tool").agg(F.count(F.lit(1)).alias("accesses"), F.max("ts").alias("last"))
@@ -225,12 +234,12 @@ SELECT CAST(id AS BIGINT) AS id, max(wave) AS wave FROM w GROUP BY id"""
 QUERIES = {
     f.__name__: f for f in (
         trace_stats, cost_by_task_type, expensive_agents, tool_usage, escalation_trend, traced_tasks, rate_limit_audit, ceiling_audit, repeat_calls, toolless_tasks,
-        tool_call_scores, replay_alignment, message_render, latest_record, upsert_chunks, copy_missing, collection_checksum, memory_expire, topological_waves,
+        tool_call_scores, replay_alignment, message_render, latest_record, upsert_chunks, copy_missing, collection_checksum, source_checksums, memory_expire, topological_waves,
     )
 }
 ORACLES = {
     "trace_stats": STATS_SQL, "cost_by_task_type": TYPE_SQL, "expensive_agents": AGENTS_SQL, "tool_usage": USAGE_SQL, "escalation_trend": TREND_SQL,
     "traced_tasks": TRACED_SQL, "rate_limit_audit": RATE_SQL, "ceiling_audit": CEILING_SQL, "repeat_calls": REPEAT_SQL, "toolless_tasks": TOOLLESS_SQL,
     "tool_call_scores": SCORES_SQL, "replay_alignment": REPLAY_SQL, "message_render": RENDER_SQL, "latest_record": LATEST_SQL, "upsert_chunks": UPSERT_SQL,
-    "copy_missing": COPY_SQL, "collection_checksum": CHECKSUM_SQL, "memory_expire": EXPIRE_SQL, "topological_waves": WAVES_SQL,
+    "copy_missing": COPY_SQL, "collection_checksum": CHECKSUM_SQL, "source_checksums": SOURCE_CHECKSUM_SQL, "memory_expire": EXPIRE_SQL, "topological_waves": WAVES_SQL,
 }

@@ -28,7 +28,7 @@ SELECT vec_id, list_contains((SELECT kept FROM f), vec_id) AS kept FROM embeddin
 def memory_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of the vectors of a label under cosine 0.4 or more, with their sizes."""
     rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    found = memory.components(rows.select("vec_id"), memory.similar_pairs(rows, ["label"], "vec_id", "embedding", 0.4), "vec_id")
+    found = memory.components(rows.select("vec_id"), memory.similar_pairs(rows, ["label"], "vec_id", "embedding", 0.4, spanning=True), "vec_id")
     return found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.sources.tables import read_table, shared_path
+from siftmill.sources.tables import read_table, new_path
 
 DELAY = "1 hour"
 
@@ -45,7 +45,7 @@ def first_of_day(events: DataFrame, delay: str = DELAY) -> DataFrame:
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """What the stream appends until its source is read up, written to the shared folder and read back."""
     spark = stream.sparkSession
-    at, state = shared_path(spark, name), shared_path(spark, f"{name}-state")
+    at, state = new_path(spark, name), new_path(spark, f"{name}-state")
     query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).start(at)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(at)

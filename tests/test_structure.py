@@ -7,9 +7,13 @@ from siftmill.operators import structure
 
 
 def test_html_sections():
-    html = "<title>T</title><nav><p>no</p></nav><p>before</p><h1>One</h1><ul><li>a<p>b</p></li></ul><script>x</script><h2>Two</h2><pre>c</pre>"
-    assert structure.html_sections(html) == [("T", "before"), ("One", "ab\nb"), ("Two", "c")]
-    assert structure.html_sections(None) == [] and structure.html_sections("") == []
+    html = "<title>T</title><nav><p>no</p><h2>Menu</h2></nav><p>before</p><h1>One</h1><ul><li>a<p>b</p></li></ul><script>x</script><h2></h2><p>still</p><h2>Two</h2><pre>c</pre><h1>Three</h1><td>x<!-- y -->z</td>"
+    assert structure.html_sections(html) == [
+        ("T", ("T",), "before"), ("One", ("T", "One"), "a b\nb"), ("One", ("T", "One"), "still"), ("Two", ("T", "One", "Two"), "c"), ("Three", ("T", "Three"), "x z"),
+    ]
+    assert structure.html_sections(None) == [] and structure.html_sections("") == [(None, (), "")]
+    assert structure.html_sections("<title>T</title><body><div>only <b>plain</b> text<br>here</div></body>") == [("T", ("T",), "only plain text here")]
+    assert structure.html_sections("<p>head</p><body><div><p>a</div>b<p>c</body>") == [(None, (), "a\nc")]
 
 
 def test_recursive_chunks(spark):
