@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftmill.functions import text as T
 from siftmill.operators import bm25, ranking
-from siftmill.sources.tables import read_table
+from siftmill.sources.tables import read_table, spread
 
 TERMS = ["the", "and", "that", "with"]
 
@@ -36,7 +36,7 @@ DENSE_SQL = f"SELECT vec_id, round(score, 8) AS score FROM ({DENSE} LIMIT 10)"
 def search_hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """20 dense and 20 BM25 candidates fused 0.7 to 0.3; vectors and documents share their identifiers."""
     dense = ranking.dense_top_k(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), 20)
-    tokens = read_table(spark, sf_dir, "documents").select("doc_id", T.bm25_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    tokens = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.bm25_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
     sparse = bm25.bm25_top_k(tokens, TERMS, 20, id_col="doc_id")
     fused = ranking.rrf([(ranking.ranked(dense, "vec_id"), ranking.DENSE_WEIGHT), (ranking.ranked(sparse, "doc_id"), ranking.SPARSE_WEIGHT)])
     return fused.select("id", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "id").limit(20)

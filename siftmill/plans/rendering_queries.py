@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from siftmill.functions import text as T
 from siftmill.operators import excerpts, markdown, rendering, structure
-from siftmill.sources.tables import read_table
+from siftmill.sources.tables import read_table, spread
 
 
 def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as Markdown: a title, the text, and a section below it with the language."""
     text = F.concat(F.lit("# Document "), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text"), F.lit("\n## Language\n"), F.coalesce("lang", F.lit("?")))
-    return read_table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", text.alias("text"))
 
 
 def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ SELECT user_id, string_agg(CASE WHEN n > 1 THEN label || ' x' || n ELSE label EN
 
 
 def token_hash_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rendering.token_hash_vectors(read_table(spark, sf_dir, "documents")).select("doc_id", "position", F.round("value", 9).alias("value"))
+    return rendering.token_hash_vectors(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "position", F.round("value", 9).alias("value"))
 
 
 VECTORS_SQL = """WITH w AS (SELECT doc_id, UNNEST(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents),

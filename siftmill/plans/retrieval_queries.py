@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftmill.functions import text as T
 from siftmill.operators import bm25
-from siftmill.sources.tables import read_table
+from siftmill.sources.tables import read_table, spread
 
 QUERY_TERMS = ["the", "and", "that", "with", "the"]
 
@@ -21,7 +21,7 @@ chunks AS (
 
 def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, ordinal, chunk, chunk_id) of 800/120 windows."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     pieces = docs.select("doc_id", F.posexplode(T.fixed_windows(F.col("text"))).alias("ordinal", "chunk"))
     blank = F.lit(None).cast("string")
     return pieces.select(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmill.operators import structure
-from siftmill.sources.tables import read_table
+from siftmill.sources.tables import read_table, spread
 
 
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,7 +14,7 @@ def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.posexplode(structure.recursive_chunks(F.col("text"))).alias("ordinal", "chunk"))
 
 

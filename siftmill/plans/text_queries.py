@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from siftmill.functions import text as T
 from siftmill.operators import bm25, overlap, retrieval_metrics
-from siftmill.sources.tables import read_table
+from siftmill.sources.tables import read_table, spread
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents")
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars"))
 
 
 def normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
