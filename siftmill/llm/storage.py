@@ -1,62 +1,16 @@
-"""Tables written to the folder that driver and executors share, and small input helpers."""
+"""Input helpers, and the written tables of :mod:`siftmill.sources.tables` under one name."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words in the sense of the contracts: maximal runs of anything but space and the controls 9 to 13.
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-#: Spark's setting that deletes the shuffle files of a finished query.
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; set to a new temporary folder only where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="siftmill-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/siftmill/{name}-{uuid.uuid4().hex}"
-
+from siftmill.sources.tables import new_path, remove, shared_dir, written, written_at
 
-def written_at(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
-    """The rows of ``df``, written once as Parquet in the shared folder and read back, and their path.
+__all__ = ["ascii_lower", "documents", "new_path", "remove", "shared_dir", "word_count", "written", "written_at"]
 
-    The write's own shuffle files go as soon as it ends, not when the driver's JVM next collects its plan:
-    nothing reads them once the table is there, and the phases of an operator don't add up on the disks.
-    """
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    before = spark.conf.get(CLEAN_UP)
-    spark.conf.set(CLEAN_UP, "true")
-    try:
-        df.write.options(**options).parquet(path)
-    finally:
-        spark.conf.set(CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """The rows of ``df``, written once as Parquet in the shared folder and read back.
-
-    It cuts the lineage (a lost executor costs no recomputing beyond this table) and keeps a costly
-    column from being computed by each of its readers.
-    """
-    return written_at(df, name, **options)[0]
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a written table that nothing reads any more, on whatever file system it lies."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+#: Words in the sense of the contracts: maximal runs of anything but space and the controls 9 to 13.
+WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
