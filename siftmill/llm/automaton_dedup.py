@@ -4,11 +4,16 @@ A window is ``width`` consecutive words. Streaming every document against the au
 would read the corpus once a shard, so a window is routed by its content: its route is the least hash of
 the word k-grams in it, which equal windows share and most neighbours too. Routes met in one document only
 cannot hold a repetition and go no further: a bit filter of bounded size tells them apart, or a join where
-there are too many for it. A maximal run of windows with one route is a piece; the
+there are too many for it. A maximal run of windows with one route, cut at PIECE windows, is a piece; the
 different pieces of a route, with the least document of each, are the reference of its shard. The shard's
 task builds their generalized suffix automaton and streams the pieces through it: where the match is at
-least a window long, the state gives the first document that has the window. Routes of very many documents
-are routed window by window instead, so that no route holds more than a bounded number of pieces.
+least a window long, the state gives the first document that has the window.
+
+What doesn't come out of an automaton: a route that has one different piece (copies of a passage with the
+same surroundings) is answered by the least document of the piece, and a busy route, of very many documents
+or windows, is routed window by window instead, so that no automaton holds more than a bounded number of
+words; a window that is all its route has is answered by its least document too. Automata are not
+broadcast: each goes to the task of its own route's pieces.
 """
 
 from __future__ import annotations
@@ -25,8 +30,10 @@ from pyspark.sql import functions as F
 from siftmill.llm.storage import documents, remove, written, written_at
 
 WIDTH, GRAM = 13, 5
-#: Routes of more documents are cut up: a window of theirs is its own piece.
-BUSY = 1000
+#: Routes of more documents, or of more windows in all, are cut up: a window of theirs is its own piece.
+BUSY, BUSY_WINDOWS = 1000, 100_000
+#: Windows of a piece at most; pieces of one run overlap by a window's words less one.
+PIECE = 512
 #: Repeated routes up to this many go to the tasks as a bit filter of at most 32 MB; more are joined.
 FILTER_ROUTES = 1 << 25
 #: Words in one automaton at most, but for a single route.
@@ -67,6 +74,11 @@ def _runs(routes: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(np.diff(routes)) + 1, [len(routes)]))
 
 
+def _bits(entries: int) -> int:
+    """Eight to sixteen bits an entry, one bitmap at least."""
+    return max(8 * _CHUNK, 1 << (8 * entries).bit_length())
+
+
 def _filter(routes: DataFrame, bits: int) -> np.ndarray:
     """A bit a route, by its low bits: ``bits`` / 8 bytes whatever the number of rows."""
     at = F.pmod("route", F.lit(bits))
@@ -193,7 +205,7 @@ def _first_documents(batches: Iterator[pd.DataFrame], width: int, shard_words: i
 
 def repeated_words_removed(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, busy: int = BUSY, shard_words: int = SHARD_WORDS,
-    with_text: bool = True, filter_routes: int = FILTER_ROUTES,
+    with_text: bool = True, filter_routes: int = FILTER_ROUTES, busy_windows: int = BUSY_WINDOWS,
 ) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256 and, ``with_text``, kept_text) of every row.
 
@@ -214,18 +226,20 @@ def repeated_words_removed(
             for key, text in zip(batch["id"], batch["text"]):
                 words = words_of(text)
                 if len(words) >= width:
-                    found.append(np.unique(_routes(words, width, gram)[0]))
+                    found.append(np.unique(_routes(words, width, gram)[0], return_counts=True))
                     ids.append(key)
             if ids:
-                yield pd.DataFrame({"route": np.concatenate(found), "id": np.repeat(np.array(ids), [len(f) for f in found])})
+                own = np.repeat(np.array(ids), [len(f) for f, _ in found])
+                yield pd.DataFrame({"route": np.concatenate([f for f, _ in found]), "windows": np.concatenate([n for _, n in found]).astype(np.int32), "id": own})
 
-    routed = known.mapInPandas(routes, f"route long, id {kind}")
-    again = written(routed.groupBy("route").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("route", (F.col("n") > busy).alias("busy")), "routes")
+    routed = known.mapInPandas(routes, f"route long, windows int, id {kind}")
+    counted = routed.groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.sum("windows").alias("windows")).where("n > 1")
+    again = written(counted.select("route", ((F.col("n") > busy) | (F.col("windows") > busy_windows)).alias("busy")), "routes")
     repeated = again.count()
     if repeated <= filter_routes:
         # a bit may stand for several routes: a piece too many is its route's only one and harmless
-        bits = max(8 * _CHUNK, 1 << (8 * repeated).bit_length())
-        held = docs.sparkSession.sparkContext.broadcast((_filter(again, bits), _filter(again.where("busy"), bits)))
+        hot = again.where("busy")
+        held = docs.sparkSession.sparkContext.broadcast((_filter(again, _bits(repeated)), _filter(hot, _bits(hot.count()))))
         with_routes = known.withColumns({"quiet": F.lit(None).cast("array<bigint>"), "busy": F.lit(None).cast("array<bigint>")})
     else:
         held = None
@@ -250,7 +264,9 @@ def repeated_words_removed(
                 else:
                     is_busy, is_quiet = np.isin(own_routes, hot), np.isin(own_routes[starts], quiet)
                 singles = np.flatnonzero(is_busy)
-                spans = [(int(own_routes[a]), int(a), int(b)) for a, b in zip(starts[is_quiet], stops[is_quiet])]
+                spans = [
+                    (int(own_routes[a]), int(at), int(min(at + PIECE, b))) for a, b in zip(starts[is_quiet], stops[is_quiet]) for at in range(a, b, PIECE)
+                ]
                 if len(singles):
                     by_window = _rolled(hashes, width).view(np.int64)
                     spans += [(int(by_window[a]), int(a), int(a) + 1) for a in singles]
@@ -303,6 +319,15 @@ def repeated_words_removed(
     return judged.mapInPandas(clean, schema).withColumnRenamed("id", id_col)
 
 
+ORACLE = r"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+n AS (SELECT doc_id, i, w[i:i+12] AS win FROM d, UNNEST(range(1, len(w) - 11)) AS g(i)),
+f AS (SELECT win, min(doc_id) AS first FROM n GROUP BY win),
+h AS (SELECT DISTINCT n.doc_id, n.i + k AS i FROM n JOIN f USING (win), UNNEST(range(0, 13)) AS g(k) WHERE f.first < n.doc_id),
+p AS (SELECT doc_id, i, w[i] AS word FROM d, UNNEST(range(1, len(w) + 1)) AS g(i)),
+k AS (SELECT p.doc_id, count(h.i) AS n_removed, sha256(coalesce(string_agg(p.word, ' ' ORDER BY p.i) FILTER (h.i IS NULL), '')) AS kept FROM p LEFT JOIN h ON h.doc_id = p.doc_id AND h.i = p.i GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept, sha256('')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
+
 def op7_automaton_dedup(spark, sf_dir: str) -> DataFrame:
     cleaned = repeated_words_removed(documents(spark, sf_dir, "doc_id", "text"), with_text=False)
     return cleaned.select("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": lsm_dedup.ORACLE, "op5_systematic_mix": systematic_mix.ORACLE, "op6_pivot_index": pivot_index.ORACLE}
+    return {"op4_exact_dedup": lsm_dedup.ORACLE, "op5_systematic_mix": systematic_mix.ORACLE, "op6_pivot_index": pivot_index.ORACLE, "op7_automaton_dedup": automaton_dedup.ORACLE}
