@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.llm.storage import written
+from siftmill.llm.storage import remove, written_at
 
 
 def _stars(pairs: DataFrame, keep_larger_only: bool) -> DataFrame:
@@ -28,7 +28,7 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     Edges may repeat, be given in either direction or be loops. NULL ends are dropped. Each round is
     written to the shared folder, and the driver reads one row of totals to see whether it changed.
     """
-    now = written(
+    now, now_at = written_at(
         edges.where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right)))
         .select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).distinct(),
         "edges",
@@ -38,7 +38,9 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _stars(both, True).where(F.col("u") != F.col("v")).distinct()
         small = _stars(large, False).where(F.col("u") != F.col("v")).distinct()
-        now = written(small, "edges")
+        before_at = now_at
+        now, now_at = written_at(small, "edges")
+        remove(edges.sparkSession, before_at)
         state = now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)), F.countDistinct("u")).first()
         if state[0] == state[2] and mark == state[:2]:
             break

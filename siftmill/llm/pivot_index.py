@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.llm.graph import connected_components
-from siftmill.llm.storage import written
+from siftmill.llm.storage import remove, written, written_at
 
 #: Pivots that share a list.
 SHARED = 3
@@ -119,6 +119,7 @@ def near_vectors(
     An empty table gives an empty result; other columns are not read. By default the pivots and how many of
     them describe a vector follow from the number of vectors of a length.
     """
+    spark = vectors.sparkSession
     base = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
     classes = _classes(vectors, id_col, vector_col)
     # lengths of more vectors than a block: as many numbers as there are such lengths
@@ -146,7 +147,7 @@ def near_vectors(
             yield pd.Series(out, dtype=object)
 
     describe.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    described = written(classes.withColumn("pivots", F.pandas_udf(describe, "array<int>")(F.col("vector"))), "described")
+    described, described_at = written_at(classes.withColumn("pivots", F.pandas_udf(describe, "array<int>")(F.col("vector"))), "described")
 
     # a list is named by the length and its pivots; a length without pivots is one list
     size = F.size("vector")
@@ -155,7 +156,7 @@ def near_vectors(
         lists = F.array(*[F.array(size, *[F.col("pivots")[i] for i in c]) for c in combinations(range(n), shared)])
         named = F.when(F.size("pivots") == n, lists).otherwise(named)
     entries = described.select("class_id", F.explode(named).alias("list"))
-    long_lists = written(
+    long_lists, lists_at = written_at(
         entries.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("list", F.ceil(F.col("n") / block).cast("int").alias("blocks")),
         "lists",
     )
@@ -190,13 +191,16 @@ def near_vectors(
         if found[0]:
             yield pd.DataFrame(dict(zip(("class_id", "links", "root"), found)))
 
-    links = written(rows.select("class_id", "copies", "vector", "pivots", "list", "block", "low", "high").mapInPandas(verify, f"class_id {kind}, links long, root {kind}"), "links")
+    links, links_at = written_at(rows.select("class_id", "copies", "vector", "pivots", "list", "block", "low", "high").mapInPandas(verify, f"class_id {kind}, links long, root {kind}"), "links")
+    for at in (described_at, lists_at):
+        remove(spark, at)
     roots = connected_components(links, "class_id", "root")
     counts = links.groupBy("class_id").agg(F.sum("links").alias("links"))
     told = classes.join(counts, "class_id", "left").join(roots, F.col("class_id") == F.col("node"), "left").select(
         F.col("vector").alias("_vector"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "class_id").alias("root_id"),
     )
     told = written(told, "told")  # so that the last join deals both sides anew and a frequent vector can be split
+    remove(spark, links_at)
     joined = base.join(told, (F.col("vector") == F.col("_vector")) & F.col("id").isNotNull(), "left")
     component = F.coalesce("root_id", "id")
     return joined.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
