@@ -112,13 +112,13 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A row is known by identifier and text: rows of one identifier whose texts are in different groups are
     each judged in their own. Of a group's least identifier the text of the least digest stays, once.
     """
-    digest = F.coalesce(F.md5(F.col(text_col)), F.lit(""))
-    prints = written(docs.select(F.col(id_col).alias("id"), digest.alias("digest"), simhash(shingle, seed)(F.col(text_col)).alias("fp")), "simhash")
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    whole = whole.withColumn("digest", F.coalesce(F.md5("text"), F.lit("")))
+    prints = written(whole.select("id", "digest", simhash(shingle, seed)(F.col("text")).alias("fp")), "simhash")
     firsts = prints.where("id IS NOT NULL").groupBy("fp").agg(F.min(F.struct("id", "digest")).alias("first"))
-    stays = firsts.join(fingerprint_components(prints, radius), "fp").groupBy("root").agg(F.min("first").alias("first"))
-    stays = stays.select(F.col("first.id").alias(id_col), F.col("first.digest").alias("_digest"))
-    once = docs.withColumn("_digest", digest).join(stays, [id_col, "_digest"], "left_semi").dropDuplicates([id_col, "_digest"])
-    return once.select(docs.columns).union(docs.where(F.col(id_col).isNull()))
+    stays = firsts.join(fingerprint_components(prints, radius), "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    once = whole.join(stays, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
+    return once.select("row").union(whole.where("id IS NULL").select("row")).select("row.*")
 
 
 def op10_ball_simhash(spark, sf_dir: str) -> DataFrame:

@@ -166,7 +166,8 @@ def score_quality(docs: DataFrame, ranking: Ranking, text_col: str = "text", out
     """``docs`` with a score from 0 to 1 of each whole text: no join, no shuffle.
 
     NULL and empty texts have the score of all-zero features. Repeated rows score alike; an empty table
-    stays empty.
+    stays empty. A column of the name ``output`` is replaced,
+    so give a name that ``docs`` doesn't have to keep it.
     """
     return docs.withColumn(output, ranking.column()(F.col(text_col)))
 
@@ -176,6 +177,7 @@ def held_out(id_col: str = "doc_id"):
 
 
 def op1_bradley_terry(spark, sf_dir: str) -> DataFrame:
+    """The score of each document; held_out is NULL where doc_id is."""
     docs = documents(spark, sf_dir, "doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
     scored = score_quality(docs, learn(docs, labels))

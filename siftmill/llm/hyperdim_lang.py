@@ -182,7 +182,8 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", output
     """``docs`` with a column struct(lang, score, breadth): no join, no shuffle.
 
     NULL, empty and letterless texts are ``und`` with score 0, as is everything if nothing was learned.
-    Texts are encoded whole; on a tie the language that sorts first wins.
+    Texts are encoded whole; on a tie the language that sorts first wins. A column of the name ``output`` is replaced,
+    so give a name that ``docs`` doesn't have to keep it.
     """
     return docs.withColumn(output, profiles.column()(F.col(text_col)))
 
@@ -192,6 +193,7 @@ def learning_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def op9_hyperdim_lang(spark, sf_dir: str) -> DataFrame:
+    """The language of each document; held_out is NULL where doc_id is, and such rows teach nothing."""
     docs = documents(spark, sf_dir, "doc_id", "text", "lang")
     profiles = learn(learning_rows(docs))
     told = identify(docs.select("doc_id", "text"), profiles)

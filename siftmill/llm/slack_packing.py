@@ -172,11 +172,15 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
 
 
 def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """The pieces with sequence_id and offset. Sequence numbers are unique, not dense."""
+    """The pieces with sequence_id and offset. Sequence numbers are unique, not dense.
+
+    Pieces are dealt into groups by what they hold and, where there is one, by their number in the written
+    table (``_salt``), so rows without an identifier, or all alike, are not one group.
+    """
     spark = pieces.sparkSession
     tokens, rows = pieces.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()
     groups = max(1, round(tokens / group_tokens), round(rows / group_pieces))
-    fields = pieces.schema.simpleString()[len("struct<") : -1].replace(":", " ")
+    fields = pieces.drop("_salt").schema.simpleString()[len("struct<") : -1].replace(":", " ")
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["id", "start", "ids_crc32"], kind="stable", ignore_index=True)
@@ -184,7 +188,8 @@ def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, gr
         number = int(group["_group"].iloc[0]) << 32
         return group.drop(columns="_group").assign(sequence_id=window + number, offset=offset)
 
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("id", "start"), F.lit(groups)))
+    keys = ["id", "start", "length", "ids_crc32", *(c for c in pieces.columns if c == "_salt")]
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(*keys), F.lit(groups))).drop("_salt")
     packed = dealt.groupBy("_group").applyInPandas(fill, f"{fields}, sequence_id long, offset long")
     return packed.withColumnRenamed("id", id_col)
 
@@ -196,7 +201,7 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     and NULL identifiers are packed like any rows; an empty table gives an empty result; other columns are
     not read. The pieces are written to the shared folder first, so nothing is tokenized twice.
     """
-    return pack(written(token_pieces(docs, path, id_col, text_col, capacity), "pieces"), id_col, capacity)
+    return pack(written(token_pieces(docs, path, id_col, text_col, capacity).withColumn("_salt", F.monotonically_increasing_id()), "pieces"), id_col, capacity)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -12,12 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftmill.llm.storage import documents, word_count
+from siftmill.llm.storage import documents, word_count, written
 
 #: A document is taken at most this many times; a source's target is at most this many times its size.
 CAP = 3
-#: Slices of a size class: the most even split of a source that is all one size.
-SLICES = 256
+#: Slices of a size class: the most even split of a source that is all one size. There are twice as many
+#: for each doubling of the rows beyond SLICE_ROWS a slice.
+SLICES, SLICE_ROWS = 256, 100_000
 
 
 def _size_class(size: Column) -> Column:
@@ -63,7 +64,7 @@ def offset_of(source: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def systematic_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, cap: int = CAP, slices: int = SLICES, carry: bool = False) -> DataFrame:
+def systematic_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, cap: int = CAP, slices: int | None = None, carry: bool = False) -> DataFrame:
     """(id, size, source_size, target, copies, taken) of every row, and with ``carry`` the row itself as struct ``row``.
 
     Size is the number of words; NULL and empty texts have size 0 and take nothing whatever their copies.
@@ -75,6 +76,9 @@ def systematic_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     carried = [F.struct(*docs.columns).alias("row"), F.xxhash64(F.col(text_col)).alias("tie")] if carry else []
     kept, ties = (["row"], ["tie"]) if carry else ([], [])
     sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *carried)
+    if not carry:
+        sized = written(sized, "sizes")  # three readers, and counting the words is all the work
+    slices = slices or SLICES << max(0, (sized.count() - 1) // (SLICES * SLICE_ROWS)).bit_length()
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), cap)
     id_text = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("null"), *ties))
     keyed = sized.select("id", "source", "size", _size_class(F.col("size")).alias("class"), _slice(id_text, slices).alias("slice"), *kept, *ties)
