@@ -13,11 +13,11 @@ OUTCOMES = {"success": "succeeded", "failure": "failed", "rejected": "refused",
 
 
 def source_label(source: Column, heading: Column, page: Column) -> Column:
-    """``file § heading (p.N)``, without the parts that are NULL, an empty heading or a negative page."""
+    """``file § heading (p.N)``, without an empty heading or a page below 1; a NULL file is "unknown"."""
     return F.concat(
-        F.coalesce(source, F.lit("")),
+        F.coalesce(source, F.lit("unknown")),
         F.when(F.coalesce(heading, F.lit("")) != "", F.concat(F.lit(" § "), heading)).otherwise(""),
-        F.when(page >= 0, F.concat(F.lit(" (p."), page.cast("string"), F.lit(")"))).otherwise(""),
+        F.when(page > 0, F.concat(F.lit(" (p."), page.cast("string"), F.lit(")"))).otherwise(""),
     )
 
 

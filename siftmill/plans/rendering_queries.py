@@ -75,8 +75,8 @@ def source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", rendering.source_label(F.col("source"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")), page).alias("label"))
 
 
-LABELS_SQL = """SELECT doc_id, coalesce(source, '') || CASE WHEN doc_id % 2 = 0 AND coalesce(lang, '') <> '' THEN ' § ' || lang ELSE '' END
-  || CASE WHEN doc_id % 3 = 0 THEN ' (p.' || doc_id % 10 || ')' ELSE '' END AS label FROM documents"""
+LABELS_SQL = """SELECT doc_id, coalesce(source, 'unknown') || CASE WHEN doc_id % 2 = 0 AND coalesce(lang, '') <> '' THEN ' § ' || lang ELSE '' END
+  || CASE WHEN doc_id % 3 = 0 AND doc_id % 10 > 0 THEN ' (p.' || doc_id % 10 || ')' ELSE '' END AS label FROM documents"""
 
 
 def fitted_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
