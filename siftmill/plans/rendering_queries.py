@@ -21,6 +21,11 @@ def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "ordinal", "section.heading", F.array_join("section.path", markdown.PATH_JOINER).alias("path"), F.char_length("section.text").alias("n_chars"))
 
 
+SECTIONS_SQL = r"""WITH d AS (SELECT doc_id, coalesce(lang, '?') AS lang, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, 0 AS ordinal, 'Document ' || doc_id AS heading, 'Document ' || doc_id AS path, CAST(length(body) AS INT) AS n_chars FROM d WHERE body <> ''
+UNION ALL SELECT doc_id, CASE WHEN body = '' THEN 0 ELSE 1 END, 'Language', 'Document ' || doc_id || ' > Language', CAST(length(lang) AS INT) FROM d"""
+
+
 def heading_path_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.section_chunks(_headed(spark, sf_dir), structure.recursive_chunks, "recursive+heading_path", paths=True)
 
@@ -97,4 +102,4 @@ QUERIES = {
         markdown_sections, heading_path_chunks, semantic_chunks, transcript_digest, tool_outcomes, token_hash_vectors, source_labels, fitted_hits,
     )
 }
-ORACLES = {"transcript_digest": DIGEST_SQL, "tool_outcomes": OUTCOMES_SQL, "token_hash_vectors": VECTORS_SQL, "source_labels": LABELS_SQL}
+ORACLES = {"markdown_sections": SECTIONS_SQL, "transcript_digest": DIGEST_SQL, "tool_outcomes": OUTCOMES_SQL, "token_hash_vectors": VECTORS_SQL, "source_labels": LABELS_SQL}
