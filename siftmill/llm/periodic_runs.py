@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.llm.storage import WORD_PATTERN, documents
@@ -164,21 +164,24 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return own.mapInPandas(find, f"id {kind}, runs {RUNS}, collapsed string").withColumnRenamed("id", id_col)
 
 
-def planted(doc_id: Column, text: Column) -> Column:
-    """The text that the contract judges: of a tenth of the documents a tail is made periodic."""
-    h = F.crc32(doc_id.cast("string").cast("binary"))
+def planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) that the contract judges: of a tenth of the documents a tail is made periodic.
+
+    The words are a column of their own, as a lambda that reads them would split the text once a word.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     g = F.floor((h - h % 10) / 10)
-    words = F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))
-    n = F.size(words)
-    a = g % n
-    p = 1 + F.floor((n - a) / (3 + g % 8))
-    tail = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + F.pmod(i - a, p)).cast("int"))))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(tail, " ")).otherwise(text)
+    split = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0))).alias("words"))
+    n = F.size("words")
+    begun = split.withColumn("a", F.when(n > 0, F.col("g") % n))
+    told = begun.withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    tail = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return told.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(tail, " ")).otherwise(F.col("text")).alias("text"))
 
 
 def op11_periodic_runs(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
-    found = periodic_runs(docs.select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text")))
+    found = periodic_runs(planted(docs))
     longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
     lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n")
     length, start, period = F.col("_longest.length"), -F.col("_longest.start"), -F.col("_longest.period")
@@ -188,3 +191,43 @@ def op11_periodic_runs(spark, sf_dir: str) -> DataFrame:
         F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+#: Pairs of equal words of a text, p apart, are joined; stretches of neighbouring pairs are the runs of period p.
+ORACLE = r"""
+WITH told AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS own,
+    xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+      lambda crc, b: list_reduce([xor(crc, b)] || range(8), lambda x, k: xor(x >> 1, 3988292384::BIGINT * (x & 1))))) AS h
+  FROM documents
+), params AS (
+  SELECT *, len(own) AS n, h // 10 AS g FROM told
+), bounds AS (
+  SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM params
+), periods AS (
+  SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM bounds
+), texts AS (
+  SELECT doc_id, n, CASE WHEN a IS NULL THEN own ELSE list_transform(own, lambda w, i: CASE WHEN i - 1 < a THEN w ELSE own[1 + a + (i - 1 - a) % p] END) END AS words
+  FROM periods
+), placed AS MATERIALIZED (
+  SELECT doc_id, n, unnest(words) AS w, unnest(range(n)) AS i FROM texts
+), pairs AS (
+  SELECT x.doc_id, y.i - x.i AS p, x.i FROM placed x JOIN placed y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND y.i - x.i <= x.n // 2
+), stretches AS (
+  SELECT doc_id, p, min(i) AS s, count(*) + p AS m
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island FROM pairs)
+  GROUP BY doc_id, p, island HAVING count(*) + p >= greatest(12, 2 * p)
+), runs AS MATERIALIZED (
+  SELECT doc_id, s, m, min(p) AS q FROM stretches GROUP BY doc_id, s, m
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s + q, s + m)) AS i FROM runs
+), kept AS (
+  SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS text FROM placed ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+), summed AS (
+  SELECT doc_id, count(*) AS n_runs, arg_max(struct_pack(s := s, m := m, q := q), (m, -s, -q)) AS best, string_agg(s || ',' || m || ',' || q || chr(10), '' ORDER BY s, q) AS lines
+  FROM runs GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.m AS length, best.q AS period, 1000 * best.m // best.q AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM documents LEFT JOIN summed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftmill.llm import automaton_dedup, ball_simhash, bradley_terry, hyperdim_lang, license_zstd, lsm_dedup, pii_crf, pivot_index, slack_packing, systematic_mix
+from siftmill.llm import automaton_dedup, ball_simhash, bradley_terry, hyperdim_lang, license_zstd, lsm_dedup, periodic_runs, pii_crf, pivot_index, slack_packing, systematic_mix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         license_zstd.op8_license_zstd,
         hyperdim_lang.op9_hyperdim_lang,
         ball_simhash.op10_ball_simhash,
+        periodic_runs.op11_periodic_runs,
     )
     return {f.__name__: f for f in functions}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": lsm_dedup.ORACLE, "op5_systematic_mix": systematic_mix.ORACLE, "op6_pivot_index": pivot_index.ORACLE, "op7_automaton_dedup": automaton_dedup.ORACLE}
+    return {
+        "op4_exact_dedup": lsm_dedup.ORACLE,
+        "op5_systematic_mix": systematic_mix.ORACLE,
+        "op6_pivot_index": pivot_index.ORACLE,
+        "op7_automaton_dedup": automaton_dedup.ORACLE,
+        "op11_periodic_runs": periodic_runs.ORACLE,
+    }
