@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftmill.llm import automaton_dedup, ball_simhash, bradley_terry, hyperdim_lang, license_zstd, lsm_dedup, periodic_runs, pii_crf, pivot_index, prefix_trie, slack_packing, systematic_mix
+from siftmill.llm import automaton_dedup, ball_simhash, bradley_terry, hyperdim_lang, license_zstd, lsm_dedup, page_differencing, periodic_runs, pii_crf, pivot_index, prefix_trie, slack_packing, systematic_mix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         hyperdim_lang.op9_hyperdim_lang,
         ball_simhash.op10_ball_simhash,
         periodic_runs.op11_periodic_runs,
+        page_differencing.op12_page_differencing,
         prefix_trie.op13_prefix_trie,
     )
     return {f.__name__: f for f in functions}
