@@ -52,8 +52,8 @@ def index_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told
 
 
-INDEX_SQL = f"""WITH RECURSIVE e AS (SELECT *, vec_id % 3 = 0 AS old FROM embeddings), n AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS i FROM e WHERE NOT old),
-p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, a.old FROM e a JOIN e b ON NOT b.old AND (a.old OR a.vec_id < b.vec_id) AND {COS} > 0.3),
+INDEX_SQL = f"""WITH RECURSIVE e AS (SELECT *, vec_id % 3 = 0 AS old FROM embeddings), n AS (SELECT vec_id, row_number() OVER (ORDER BY 's' || label, format('c{{:06d}}', vec_id)) AS i FROM e WHERE NOT old),
+p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, a.old FROM e a JOIN e b ON NOT b.old AND (a.old OR ('s' || a.label, format('c{{:06d}}', a.vec_id)) < ('s' || b.label, format('c{{:06d}}', b.vec_id))) AND {COS} > 0.3),
 o AS MATERIALIZED (SELECT i, vec_id, (SELECT list(a) FROM p WHERE b = vec_id AND NOT old) AS earlier, EXISTS (SELECT 1 FROM p WHERE b = vec_id AND old) AS beaten FROM n),
 k AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT o.i, CASE WHEN beaten OR list_has_any(k.kept, coalesce(o.earlier, [])) THEN k.kept ELSE list_append(k.kept, o.vec_id) END FROM k JOIN o ON o.i = k.i + 1),
 c AS (SELECT count(DISTINCT label) AS sources, count(*) AS chunks, count(*) FILTER (vec_id % 3 = 0) AS skipped FROM embeddings WHERE vec_id % 3 > 0 OR vec_id % 2 = 0)
