@@ -16,6 +16,10 @@ PRICES = {
 }
 CHARS_A_TOKEN, TOKENS_A_CALL, CUT_CHARS, RESULT_BUDGET = 3, 20, 200, 2000
 CONFIDENCE, REVIEW, MAX_SUBTASKS, ATTRIBUTE_CHARS = 0.7, 3, 4, 800
+MAX_REWORKS, MAX_FAILURES, ALLOWANCE = 2, 2, 3
+TOOL_BOUND, FILE_WRITE = ("research", "analysis", "code"), "file_write"
+# Fixed value: "save", then a back-quoted file name, at once or after a short object, within a sentence.
+SAVED_FILE = r"(?i)\bsav(?:e|es|ed|ing)\b(?:[^`.;:!?\n]{0,60}?\b(?:as|to|in|into)\b)?\s+`([\w./-]+\.\w{1,5})`"
 
 
 def normalized_model(model: Column) -> Column:
@@ -71,18 +75,37 @@ def admissions(calls: DataFrame, tools: DataFrame, order: list[str]) -> DataFram
     return told.withColumn("_own", own).withColumn("should", status).drop("owners", "most", "_known", "_own")
 
 
-def typed_subset(wanted: Column, given: Column, keys: list[str]) -> Column:
-    """Whether each of ``keys`` that the JSON object ``wanted`` has is in ``given`` with equal value and type."""
-    def same(key: str) -> Column:
-        a, b = (F.try_variant_get(F.try_parse_json(x), f"$.{key}", "variant") for x in (wanted, given))
-        equal = (F.to_json(a) == F.to_json(b)) & (F.schema_of_variant(a) == F.schema_of_variant(b))
-        return a.isNull() | F.coalesce(equal, F.lit(False))
+def _typed(value: Column) -> Column:
+    """struct(kind, text, number) of a variant: equal for JSON values that are equal and of the same type.
 
-    return reduce(Column.__and__, [same(k) for k in keys], F.lit(True))
+    Whole numbers, other numbers, texts, truth values, nulls, arrays and objects are types of their own; other
+    numbers are compared as doubles, so 3.5 is 3.50, and objects whatever the order of their keys.
+    """
+    kind = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    real = kind.isin("DECIMAL", "DOUBLE", "FLOAT")
+    return F.struct(
+        F.when(real, "REAL").otherwise(kind).alias("kind"), F.when(~real, F.to_json(value)).alias("text"),
+        F.when(real, F.try_variant_get(value, "$", "double")).alias("number"),
+    )
+
+
+def typed_subset(wanted: Column, given: Column, keys: list[str] | None = None) -> Column:
+    """Whether each key that the JSON object ``wanted`` has is in ``given`` with a value of equal type and equal.
+
+    ``keys`` restricts the keys looked at. What isn't a JSON object meets nothing and asks for nothing.
+    """
+    want, have = (F.from_json(x, "map<string,variant>") for x in (wanted, given))
+    asked = F.map_keys(want) if keys is None else F.array_intersect(F.map_keys(want), F.array(*[F.lit(k) for k in keys]))
 
+    def same(key: Column) -> Column:
+        a, b = F.try_element_at(want, key), F.try_element_at(have, key)
+        return F.coalesce(F.array_contains(F.map_keys(have), key), F.lit(False)) & _typed(a).eqNullSafe(_typed(b))
 
-def must_calls_met(must: DataFrame, calls: DataFrame, keys: list[str]) -> DataFrame:
-    """(task, entry, met): an entry (tools, arguments) is met by a successful call of one of its tools with its arguments."""
+    return F.coalesce(F.forall(asked, same), F.lit(True))
+
+
+def must_calls_met(must: DataFrame, calls: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(task, entry, met): an entry (tools, arguments) is met by a successful call of one of its tools with all its arguments."""
     done = calls.where("status = 'success'").select("task", F.col("tool").alias("_tool"), F.col("arguments").alias("_arguments"))
     asked = must.select("task", "entry", F.explode("tools").alias("_tool"), "arguments")
     hit = asked.join(done, ["task", "_tool"]).where(typed_subset(F.col("arguments"), F.col("_arguments"), keys)).select("task", "entry").distinct()
@@ -151,26 +174,91 @@ def latest_plan(plans: DataFrame, subtasks: DataFrame) -> DataFrame:
     return subtasks.join(last, "plan_id")
 
 
-def plan_findings(subtasks: DataFrame, tools: DataFrame, most: int = MAX_SUBTASKS) -> DataFrame:
-    """(plan_id, sid, finding) of plans (plan_id, sid, specialist, tools): too many subtasks, none, unknown or another's tools."""
-    many = subtasks.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("plan_id", F.lit(None).cast("string").alias("sid"), F.lit("too many subtasks").alias("finding"))
-    none = subtasks.where(F.coalesce(F.size("tools"), F.lit(0)) <= 0).select("plan_id", "sid", F.lit("no tools").alias("finding"))
-    used = subtasks.select("plan_id", "sid", "specialist", F.explode("tools").alias("tool")).join(F.broadcast(tools.select("tool", "owners", F.lit(True).alias("_known"))), "tool", "left")
+def requested_files(request: Column) -> Column:
+    """The back-quoted file names that a request asks to save, each once, in order."""
+    return F.array_distinct(F.regexp_extract_all(request, F.lit(SAVED_FILE), F.lit(1)))
+
+
+def first_sentence(description: Column) -> Column:
+    """White space normalised, up to the first full stop and space, without a full stop at the end."""
+    first = F.split_part(F.trim(F.regexp_replace(F.coalesce(description, F.lit("")), r"\s+", " ")), F.lit(". "), F.lit(1))
+    return F.regexp_replace(first, r"\.$", "")
+
+
+def plan_findings(subtasks: DataFrame, tools: DataFrame, most: int = MAX_SUBTASKS, deliverables: DataFrame | None = None, requests: DataFrame | None = None) -> DataFrame:
+    """(plan_id, sid, finding) of plans (plan_id, sid, specialist, tools).
+
+    Too many subtasks; a subtask without tools of a specialist whose work is tool calls; a tool that isn't in
+    ``tools`` (tool, owners; NULL owners is everybody) or is another's. With ``deliverables`` (plan_id, path,
+    producer) also: a producer that may not, or doesn't list to, write files; with ``requests`` (plan_id,
+    request) a file asked for that isn't a deliverable.
+    """
+    none, own = F.lit(None).cast("string"), F.coalesce("tools", F.array().cast("array<string>"))
+    many = subtasks.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("plan_id", none.alias("sid"), F.lit("too many subtasks").alias("finding"))
+    bare = subtasks.where((F.size(own) == 0) & F.col("specialist").isin(*TOOL_BOUND)).select("plan_id", "sid", F.lit("no tools").alias("finding"))
+    used = subtasks.select("plan_id", "sid", "specialist", F.explode("tools").alias("tool")).join(tools.select("tool", "owners", F.lit(True).alias("_known")), "tool", "left")
     wrong = F.when(F.col("_known").isNull(), F.concat(F.lit("unknown tool "), "tool")).when(F.col("owners").isNotNull() & ~F.array_contains("owners", F.col("specialist")), F.concat(F.lit("not its tool "), "tool"))
-    return many.union(none).union(used.select("plan_id", "sid", wrong.alias("finding")).where("finding IS NOT NULL")).distinct()
+    found = many.union(bare).union(used.select("plan_id", "sid", wrong.alias("finding")).where("finding IS NOT NULL"))
+    if deliverables is not None:
+        writer = tools.where(F.col("tool") == FILE_WRITE).agg(F.max(F.struct(F.lit(True).alias("known"), "owners")).alias("_writer"))  # one row
+        made = deliverables.select("plan_id", "path", F.col("producer").alias("sid")).join(subtasks.select("plan_id", "sid", "specialist", own.alias("_own")), ["plan_id", "sid"]).crossJoin(F.broadcast(writer))
+        may = F.coalesce(F.col("_writer.known"), F.lit(False)) & (F.col("_writer.owners").isNull() | F.array_contains("_writer.owners", F.col("specialist")))
+        told = F.when(~may, F.concat(F.lit("may not write "), "path")).when(~F.array_contains("_own", FILE_WRITE), F.concat(F.lit("must list file_write for "), "path"))
+        found = found.union(made.select("plan_id", "sid", told.alias("finding")).where("finding IS NOT NULL"))
+        if requests is not None:
+            asked = requests.select("plan_id", F.explode(requested_files(F.col("request"))).alias("path")).join(deliverables.select("plan_id", "path"), ["plan_id", "path"], "left_anti")
+            found = found.union(asked.select("plan_id", none, F.concat(F.lit("not listed: "), "path")))
+    return found.distinct()
+
+
+def plan_trigger(confidence: Column, requested: Column, threshold: float = CONFIDENCE) -> Column:
+    """Why a plan goes to a person before it is run, low confidence first; NULL if it doesn't."""
+    return F.when(confidence < threshold, "low_plan_confidence").when(requested, "user_requested")
+
+
+def attempts_spent(status: Column, attempts: Column, allowance: Column) -> Column:
+    """Whether a subtask that isn't completed has made every attempt it was allowed."""
+    return F.coalesce(status.isin("failed_attempt", "rework") & (F.coalesce(attempts, F.lit(0)) >= F.coalesce(allowance, F.lit(ALLOWANCE))), F.lit(False))
 
 
-def escalations(confidence: Column, requested: Column, attempts: Column, failed: Column, sensitive: Column, score: Column, silent: Column) -> Column:
-    """The reasons to ask a person, in order of precedence; empty without one."""
-    return F.array_compact(F.array(
-        F.when(requested, "user_requested"), F.when(sensitive, "sensitive_operation"), F.when(failed & (attempts >= 2), "double_failure"),
-        F.when(silent, "no_tool_result"), F.when(score < REVIEW, "low_review_score"), F.when(confidence < CONFIDENCE, "low_confidence"),
-    ))
+def subtask_trigger(status: Column, attempts: Column, allowance: Column, errors: Column, reworks: Column, score: Column, silent: Column, review: int = REVIEW, max_reworks: int = MAX_REWORKS, max_failures: int = MAX_FAILURES) -> Column:
+    """Why a subtask goes to a person after an attempt; NULL if it doesn't.
+
+    A failed attempt does once it has failed ``max_failures`` times, one sent back once it was so
+    ``max_reworks`` times for a low score or for tools that gave no result, and either once its attempts are spent.
+    """
+    spent = attempts_spent(status, attempts, allowance)
+    low = (F.coalesce(reworks, F.lit(0)) >= max_reworks) & (F.coalesce(silent, F.lit(False)) | F.coalesce(score < review, F.lit(False)))
+    return F.when((status == "failed_attempt") & ((F.coalesce(errors, F.lit(0)) >= max_failures) | spent), "specialist_double_failure").when((status == "rework") & (low | spent), "low_review_score")
+
+
+def attempt_states(events: DataFrame, key: list[str], order: list[str], review: int = REVIEW, allowance: int = ALLOWANCE) -> DataFrame:
+    """``events`` of subtasks with what each has come to after each of them.
+
+    Events (``key`` and ``order`` columns, kind, score, silent) are attempts of kind ``failed`` or ``reviewed`` (with the
+    reviewer's score, or silent where none of its tools gave a result), and approvals. Added are status, attempts,
+    error_count, rework_count, attempt_allowance and trigger (of attempts only). An approval raises the allowance by one and
+    leaves the counters, so the next attempt that doesn't complete escalates again; nothing counts after
+    completion. A subtask's events meet in one window, which is as long as it has attempts.
+    """
+    so_far = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kind, silent = F.col("kind"), F.coalesce("silent", F.lit(False))
+    failed, sent_back = kind == "failed", (kind == "reviewed") & (silent | (F.col("score") < review))
+    done = (kind == "reviewed") & ~silent & (F.col("score") >= review)
+    open_ = F.coalesce(F.max(done.cast("int")).over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 0
+    live = events.withColumn("_open", open_)
+    count = lambda what: F.count_if(F.col("_open") & what).over(so_far)
+    told = live.withColumns({
+        "status": F.when(~F.col("_open"), "completed").when(failed, "failed_attempt").when(sent_back, "rework").when(done, "completed").otherwise("approved"),
+        "attempts": count(kind != "approval"), "error_count": count(failed), "rework_count": count(sent_back),
+        "attempt_allowance": F.lit(allowance) + count(kind == "approval"),
+    }).drop("_open")
+    return told.withColumn("trigger", subtask_trigger(*[F.col(c) for c in ("status", "attempts", "attempt_allowance", "error_count", "rework_count", "score", "silent")], review))
 
 
 def tools_silent(listed: Column, receipts: Column) -> Column:
-    """Whether a subtask lists tools and none of its receipts (tool, status) of them is a success or a denial."""
-    spoke = F.exists(receipts, lambda r: F.array_contains(listed, r["tool"]) & r["status"].isin("success", "rejected"))
+    """Whether a subtask lists tools and none of its receipts (tool, status) of them is a success or was denied by a person."""
+    spoke = F.exists(receipts, lambda r: F.array_contains(listed, r["tool"]) & r["status"].isin("success", "denied"))
     return (F.coalesce(F.size(listed), F.lit(0)) > 0) & ~F.coalesce(spoke, F.lit(False))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftmill.functions import text as T
 from siftmill.operators import evaluation as E
-from siftmill.operators.prefix import nearest_ranks, running_totals
+from siftmill.operators.prefix import joined_on, nearest_ranks, running_totals
 from siftmill.operators.rendering import source_label
 
 # The refusal asked of a model, a passing rating, and the decimals of a configured threshold.
@@ -116,7 +116,7 @@ def answer_scores(records: DataFrame, by: list[str]) -> DataFrame:
     counted = rows.where("total_ms IS NOT NULL").groupBy(*by, F.col("total_ms").alias("_ms")).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running_totals(counted, by, ["_ms"], ["_n"])
     at = lambda p: F.max(F.when((F.col("_n_before") < F.ceil(F.col("_n_total") * p / 100)) & (F.ceil(F.col("_n_total") * p / 100) <= F.col("_n_before") + F.col("_n")), F.col("_ms")))
-    return totals.join(ranked.groupBy(*by).agg(at(50).alias("p50_ms"), at(95).alias("p95_ms")), by, "left")
+    return joined_on(totals, ranked.groupBy(*by).agg(at(50).alias("p50_ms"), at(95).alias("p95_ms")), by, "left")
 
 
 def prf_with_intervals(rows: DataFrame, by: list[str], expected: Column, actual: Column) -> DataFrame:

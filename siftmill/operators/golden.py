@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from siftmill.functions import text as T
 from siftmill.operators import overlap
+from siftmill.operators.prefix import joined_on, running_totals
 
 # Limits of chunks, quotes and questions, and the kinds of questions without an answer.
 MIN_CHARS, MAX_CODE, QUOTE_CHARS, LEAK_WORDS, SAME, SERVED = 300, 0.6, (12, 120), 6, 0.6, 2
-NO_ANSWER_KINDS = ("absent", "future", "other")
+NO_ANSWER_KINDS = ("near-miss", "knows-elsewhere", "out-of-scope")
 
 
 def eligible(chunks: DataFrame, quotes: DataFrame, chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
@@ -67,10 +68,11 @@ def coverage(questions: DataFrame, by: list[str], targets: dict[str, int]) -> Da
     return counted.withColumn("target", F.when(F.col("_level") == only, F.try_element_at(table, F.col(by[0])))).drop("_level")
 
 
-def no_answer_kind(notes: Column) -> Column:
-    """The word before the first colon of the notes, if it is a known kind, else ``unlabelled``."""
+def no_answer_kind(notes: Column, category: Column | None = None) -> Column:
+    """The word before the first colon of the notes, if it is a known kind, else ``unlabelled``; NULL for a ``category`` other than no_answer."""
     word = F.trim(F.split_part(F.coalesce(notes, F.lit("")), F.lit(":"), F.lit(1)))
-    return F.when(word.isin(*NO_ANSWER_KINDS), word).otherwise("unlabelled")
+    kind = F.when(word.isin(*NO_ANSWER_KINDS), word).otherwise("unlabelled")
+    return kind if category is None else F.when(category == "no_answer", kind)
 
 
 def first_of_files(chunks: DataFrame, seed: str, file: str = "source_file", order: str = "ordinal") -> DataFrame:
@@ -93,7 +95,7 @@ def stratified_sample(rows: DataFrame, strata: list[str], id_col: str, seed: str
     shares = exact.withColumn("_left", left).withColumn("_place", place).select(*strata, (F.floor("_exact") + F.when(F.col("_place") <= F.col("_left"), 1).otherwise(0)).alias("_share"))
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")), 256)
     ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*strata).orderBy(order))).where(F.col("_rank") <= quota)
-    return ranked.join(F.broadcast(shares), strata).where(F.col("_rank") <= F.col("_share")).drop("_rank", "_share")
+    return joined_on(ranked, shares, strata).where(F.col("_rank") <= F.col("_share")).drop("_rank", "_share")
 
 
 def next_number(ids: DataFrame, id_col: str, prefix: str) -> DataFrame:
@@ -106,15 +108,16 @@ def promoted(golden: DataFrame, candidates: DataFrame, id_col: str, strata: list
     """``golden`` with the verified candidates that it lacks, which get splits so that each stratum has its share of dev.
 
     Rows that have a split keep it. A stratum's new rows, by seeded hash, fill dev up to round-half-up of its
-    share and are test beyond.
+    share and are test beyond. NULL is a stratum; rows are numbered by ranges, so a stratum isn't one task's.
     """
     fresh = candidates.where("verified").join(golden.select(id_col), id_col, "left_anti")
     had = golden.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("split") == "dev").alias("_dev"))
-    new = fresh.groupBy(*strata).agg(F.count(F.lit(1)).alias("_new")).join(had, strata, "left")
+    new = joined_on(fresh.groupBy(*strata).agg(F.count(F.lit(1)).alias("_new")), had, strata, "left")
     room = new.select(*strata, (F.floor((F.col("_new") + F.coalesce("_n", F.lit(0))) * dev_share + 0.5) - F.coalesce("_dev", F.lit(0))).alias("_room"))
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")), 256)
-    placed = fresh.withColumn("_place", F.row_number().over(Window.partitionBy(*strata).orderBy(order))).join(room, strata)
-    return golden.unionByName(placed.withColumn("split", F.when(F.col("_place") <= F.col("_room"), "dev").otherwise("test")).select(golden.columns))
+    numbered = running_totals(fresh.withColumn("_order", order).withColumn("_one", F.lit(1)), strata, ["_order", id_col], ["_one"])
+    placed = joined_on(numbered, room, strata)
+    return golden.unionByName(placed.withColumn("split", F.when(F.col("_one_before") < F.col("_room"), "dev").otherwise("test")).select(golden.columns))
 
 
 def quote_lines(text: Column, quote: Column) -> Column:

@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 from siftmill.sources.tables import written
 
 
+def joined_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` on keys of equal name, NULL equal to NULL; ``left``'s keys stay."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys], F.lit(True))
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def running_totals(rows: DataFrame, group: list[str], order: list[str], values: list[str]) -> DataFrame:
     """``rows`` with, for each value column v, ``v_before`` (sum over the group's earlier rows) and ``v_total``.
 

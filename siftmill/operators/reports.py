@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.operators.evaluation import RESAMPLES, SEED, paired_bootstrap
-from siftmill.operators.prefix import nearest_ranks
+from siftmill.operators.prefix import joined_on, nearest_ranks
 
 # What stands for no value, and the digits of a record's numbers.
 NONE, RECORD_DIGITS = "n/a", 6
@@ -22,7 +22,7 @@ def ablation_arms(records: DataFrame, metrics: list[str], times: list[str]) -> D
     out = records.groupBy("split", "arm").agg(F.count(F.lit(1)).alias("n"), *[F.avg(m).alias(m) for m in metrics])
     for time in times:
         ranks = nearest_ranks(records.where(F.col(time).isNotNull()), ["split", "arm"], time, (50, 95))
-        out = out.join(ranks.select("split", "arm", F.col("p50").alias(f"{time}_p50"), F.col("p95").alias(f"{time}_p95")), ["split", "arm"], "left")
+        out = joined_on(out, ranks.select("split", "arm", F.col("p50").alias(f"{time}_p50"), F.col("p95").alias(f"{time}_p95")), ["split", "arm"], "left")
     return out
 
 

@@ -68,16 +68,16 @@ count(*) FILTER (m < 2 AND result_chars >= CASE tool WHEN 'view' THEN 1500 ELSE
 
 
 def must_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each task must click or view with k 3, purchase with k 5 as text (never given so), and sign up."""
+    """Each task must click or view with k 3, purchase with k 5, sign up, and view with k 4 and a key that no call has."""
     calls = _calls(spark, sf_dir).join(read_table(spark, sf_dir, "events").select("event_id", F.col("props").alias("arguments")), "event_id")
     tasks = calls.select("task").distinct()
-    entries = [(1, ["click", "view"], '{"k": 3}'), (2, ["purchase"], '{"k": "5"}'), (3, ["signup"], "{}")]
+    entries = [(1, ["click", "view"], '{"k": 3}'), (2, ["purchase"], '{"k": 5}'), (3, ["signup"], "{}"), (4, ["view"], '{"k": 4, "z": 9}')]
     must = tasks.crossJoin(F.broadcast(spark.createDataFrame(entries, "entry int, tools array<string>, arguments string")))
-    return G.must_calls_met(must, calls, ["k"])
+    return G.must_calls_met(must, calls)
 
 
 MUST_SQL = """WITH c AS (SELECT user_id AS task, event_type AS tool, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 4 = 0), t AS (SELECT DISTINCT user_id AS task FROM events)
-SELECT task, 1 AS entry, EXISTS (SELECT 1 FROM c WHERE c.task = t.task AND tool IN ('click', 'view') AND k = 3) AS met FROM t UNION ALL SELECT task, 2, false FROM t
+SELECT task, 1 AS entry, EXISTS (SELECT 1 FROM c WHERE c.task = t.task AND tool IN ('click', 'view') AND k = 3) AS met FROM t UNION ALL SELECT task, 2, EXISTS (SELECT 1 FROM c WHERE c.task = t.task AND tool = 'purchase' AND k = 5) FROM t UNION ALL SELECT task, 4, false FROM t
 UNION ALL SELECT task, 3, EXISTS (SELECT 1 FROM c WHERE c.task = t.task AND tool = 'signup') FROM t"""
 
 

@@ -18,7 +18,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda n, *names: F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % n + 1).cast("int"))
     rows = rows.withColumn("x", x).withColumn("category", pick(4, "lookup", "multi_hop", "no_answer", "ambiguous")).withColumn("refused", x % 5 == 0)
     return rows.select(
-        F.col("doc_id").alias("id"), "mode", "category", pick(3, "absent", "future", "other").alias("no_answer_kind"), F.col("lang").alias("origin"),
+        F.col("doc_id").alias("id"), "mode", "category", pick(3, "near-miss", "knows-elsewhere", "out-of-scope").alias("no_answer_kind"), F.col("lang").alias("origin"),
         F.when(F.col("doc_id") % 5 < 2, "dev").otherwise("test").alias("split"), "refused",
         F.when(F.col("refused"), F.when(x % 2 == 0, "gate").otherwise("model")).alias("refused_by"), F.when(x % 11 > 0, (x % 5 + 1).cast("int")).alias("rating"),
         F.when(x % 7 > 0, F.transform(F.sequence(F.lit(1), (x % 4 + 1).cast("int")), lambda i: (x + i) % 3 > 0)).alias("supported"),
@@ -29,7 +29,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RECORDS = """d AS (SELECT doc_id, lang, coalesce(n_chars, 0) AS n, mode, doc_id * 7 + CASE mode WHEN 'dense' THEN 0 ELSE 3 END + coalesce(n_chars, 0) % 13 AS x
   FROM documents, (VALUES ('dense'), ('hybrid')) m(mode)),
-r0 AS (SELECT doc_id AS id, mode, x, ['lookup', 'multi_hop', 'no_answer', 'ambiguous'][doc_id % 4 + 1] AS category, ['absent', 'future', 'other'][doc_id % 3 + 1] AS no_answer_kind, lang AS origin,
+r0 AS (SELECT doc_id AS id, mode, x, ['lookup', 'multi_hop', 'no_answer', 'ambiguous'][doc_id % 4 + 1] AS category, ['near-miss', 'knows-elsewhere', 'out-of-scope'][doc_id % 3 + 1] AS no_answer_kind, lang AS origin,
   CASE WHEN doc_id % 5 < 2 THEN 'dev' ELSE 'test' END AS split, x % 5 = 0 AS refused, CASE WHEN x % 11 > 0 THEN x % 5 + 1 END AS rating,
   CASE WHEN x % 7 > 0 THEN list_transform(range(1, x % 4 + 2), lambda i: (x + i) % 3 > 0) END AS supported,
   (n % 997 + x % 50)::DOUBLE AS total_ms, CASE WHEN x % 3 = 0 THEN x % 2 = 0 END AS human_pass, x % 17 / 16.0::DOUBLE AS top_score FROM d),
@@ -115,7 +115,7 @@ def mcnemar_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MCNEMAR_SQL = f"""WITH RECURSIVE {RECORDS}, p AS (SELECT a.category, a.split, a.origin, a.correct AS a, b.correct AS b FROM r a JOIN r b ON a.id = b.id AND a.mode = 'dense' AND b.mode = 'hybrid' WHERE a.correct IS NOT NULL AND b.correct IS NOT NULL),
 c AS (SELECT category, split, origin, count(*) AS n, count_if(a AND NOT b)::BIGINT AS only_a, count_if(NOT a AND b)::BIGINT AS only_b FROM p GROUP BY GROUPING SETS ((), (category), (split), (origin))),
-t AS (SELECT *, 0 AS i, pow(0.5::DOUBLE, only_a + only_b) AS term FROM c UNION ALL SELECT category, split, origin, n, only_a, only_b, i + 1, term * (only_a + only_b - i) / (i + 1) FROM t WHERE i < least(only_a, only_b))
+t AS (SELECT *, exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2)) AS term FROM (SELECT *, unnest(range(least(only_a, only_b) + 1)) AS i FROM c))
 SELECT category, split, origin, n, only_a, only_b, round(CASE WHEN only_a + only_b = 0 THEN 1.0 ELSE least(1.0, 2 * sum(term)) END, 9) AS p FROM t GROUP BY category, split, origin, n, only_a, only_b"""
 
 

@@ -96,7 +96,7 @@ def mcnemar_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MCNEMAR_SQL = f"""WITH RECURSIVE {JUDGED}, c AS (SELECT source, count_if(expected AND NOT actual)::BIGINT AS a, count_if(NOT expected AND actual)::BIGINT AS b FROM j GROUP BY source),
-t AS (SELECT source, a, b, 0 AS i, pow(0.5::DOUBLE, a + b) AS term FROM c UNION ALL SELECT source, a, b, i + 1, term * (a + b - i) / (i + 1) FROM t WHERE i < least(a, b))
+t AS (SELECT *, exp(lgamma(a + b + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) - (a + b) * ln(2)) AS term FROM (SELECT *, unnest(range(least(a, b) + 1)) AS i FROM c))
 SELECT source, a, b, round(CASE WHEN a + b = 0 THEN 1.0 ELSE least(1.0, 2 * sum(term)) END, 9) AS p FROM t GROUP BY source, a, b"""
 
 

@@ -37,8 +37,8 @@ def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BM25_IDF_SQL = f"""WITH t AS (SELECT doc_id, UNNEST(list_distinct({TOKENS})) AS term FROM documents),
 d AS (SELECT term, count(*) AS df FROM t GROUP BY term),
-r AS (SELECT term, df, ln((SELECT count(*) FROM documents) - df + 0.5) - ln(df + 0.5) AS raw FROM d)
-SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM r) ELSE raw END, 8) AS idf FROM r"""
+n AS MATERIALIZED (SELECT count(*) AS n FROM documents), r AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM d, n), m AS MATERIALIZED (SELECT avg(raw) AS mean FROM r)
+SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END, 8) AS idf FROM r, m"""
 
 
 def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:

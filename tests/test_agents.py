@@ -1,8 +1,10 @@
 """Agent and golden-set operators on hand-made cases."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from siftmill.operators import agents, golden
+from siftmill.operators import agents, golden, replay, reviews
 from siftmill.operators.logs import importance
 
 
@@ -23,28 +25,74 @@ def test_typed_arguments(spark):
     assert all(r.got == r.want for r in df.collect())
 
 
+def test_all_keys_of_arguments(spark):
+    cases = [
+        ('{"k": 3, "z": 9}', '{"k": 3}', False), ('{"k": 3}', '{"k": 3, "z": 9}', True), ('{"a": 1.50}', '{"a": 1.5}', True), ('{"a": {"x": 1, "y": [2]}}', '{"a": {"y": [2], "x": 1}}', True),
+        ('{"a": null}', '{"a": null}', True), ('{"a": null}', "{}", False), ('{"a.b": 1}', '{"a.b": 1}', True), ('{"a": "1"}', '{"a": 1}', False), ('{"a": true}', '{"a": 1}', False), ("[1]", "{}", True),
+    ]
+    df = spark.createDataFrame(cases, "w string, g string, want boolean").withColumn("got", agents.typed_subset(F.col("w"), F.col("g")))
+    assert [(r.w, r.got) for r in df.collect()] == [(r.w, r.want) for r in df.collect()]
+
+
 def test_plans(spark):
     plans = spark.createDataFrame([("t", "p1", 1), ("t", "p2", 2)], "task string, plan_id string, version int")
     subtasks = spark.createDataFrame(
-        [("p1", "a", "r", ["s"]), ("p2", "a", "r", ["s", "zz"]), ("p2", "b", "w", ["s"]), ("p2", "c", "w", []), ("p2", "d", "w", ["t"]), ("p2", "e", "w", None)], "plan_id string, sid string, specialist string, tools array<string>"
+        [("p1", "a", "research", ["s"]), ("p2", "a", "research", ["s", "zz"]), ("p2", "b", "writing", ["s"]), ("p2", "c", "writing", []), ("p2", "d", "writing", ["t"]), ("p2", "e", "code", None)],
+        "plan_id string, sid string, specialist string, tools array<string>",
     )
-    tools = spark.createDataFrame([("s", ["r"]), ("t", None)], "tool string, owners array<string>")
+    tools = spark.createDataFrame([("s", ["research"]), ("t", None), ("file_write", ["writing", "code"])], "tool string, owners array<string>")
     last = agents.latest_plan(plans, subtasks).collect()
     assert {r.sid for r in last} == set("abcde") and last[0].next_version == 3 and {r.plan_id for r in last} == {"p2"}
-    found = {(r.plan_id, r.sid, r.finding) for r in agents.plan_findings(subtasks, tools).collect()}
-    assert found == {("p2", None, "too many subtasks"), ("p2", "c", "no tools"), ("p2", "e", "no tools"), ("p2", "a", "unknown tool zz"), ("p2", "b", "not its tool s")}
+    found = lambda *more: {(r.plan_id, r.sid, r.finding) for r in agents.plan_findings(subtasks, tools, 4, *more).collect()}
+    lint = {("p2", None, "too many subtasks"), ("p2", "e", "no tools"), ("p2", "a", "unknown tool zz"), ("p2", "b", "not its tool s")}  # c is a writer: it may work from its inputs
+    assert found() == lint
+    made = spark.createDataFrame([("p2", "a.md", "a"), ("p2", "c.md", "c")], "plan_id string, path string, producer string")
+    asked = spark.createDataFrame([("p2", "Save the note as `c.md`. Files such as `x.toml` stay; it is SAVED to `out/d.json` and saved `d.md`")], "plan_id string, request string")
+    assert found(made, asked) == lint | {("p2", "a", "may not write a.md"), ("p2", "c", "must list file_write for c.md"), ("p2", None, "not listed: out/d.json"), ("p2", None, "not listed: d.md")}
+    assert [one(spark, agents.first_sentence(F.lit(t))) for t in ("Reads  a file. Then more.", "One.", None, "v1.2 of it")] == ["Reads a file", "One", "", "v1.2 of it"]
 
 
-def test_escalations_and_silence(spark):
+def test_triggers_and_silence(spark):
     lit = F.lit
-    assert one(spark, agents.escalations(lit(0.5), lit(True), lit(2), lit(True), lit(False), lit(2), lit(False))) == ["user_requested", "double_failure", "low_review_score", "low_confidence"]
-    assert one(spark, agents.escalations(lit(0.7), lit(False), lit(1), lit(True), lit(False), lit(3), lit(False))) == []
+    plan = lambda c, r: one(spark, agents.plan_trigger(lit(c), lit(r)))
+    assert [plan(0.5, True), plan(0.7, True), plan(0.7, False)] == ["low_plan_confidence", "user_requested", None]
+    case = lambda *v: one(spark, agents.subtask_trigger(*[lit(x) for x in v]))  # noqa: E731  status, attempts, allowance, errors, reworks, score, silent
+    assert case("failed_attempt", 1, 3, 1, 0, None, False) is None and case("failed_attempt", 2, 3, 2, 0, None, False) == "specialist_double_failure"
+    assert case("failed_attempt", 3, 3, 1, 0, None, False) == "specialist_double_failure"  # its last attempt
+    assert case("rework", 1, 3, 0, 1, 2, False) is None and case("rework", 2, 3, 0, 2, 2, False) == "low_review_score" and case("rework", 2, 3, 0, 2, None, True) == "low_review_score"
+    assert case("rework", 3, 3, 1, 1, 2, False) == "low_review_score" and case("completed", 9, 3, 9, 9, 5, False) is None
+    assert one(spark, reviews.level(agents.subtask_trigger(*[lit(x) for x in ("rework", 2, 3, 0, 2, 2, False)]))) == "approve_action" and one(spark, reviews.level(agents.plan_trigger(lit(0.1), lit(False)))) == "approve_plan"
     receipts = lambda *r: F.array(*[F.struct(F.lit(t).alias("tool"), F.lit(s).alias("status")) for t, s in r])
     assert one(spark, agents.tools_silent(F.array(lit("a")), receipts(("a", "failure"), ("b", "success"))))
-    assert not one(spark, agents.tools_silent(F.array(lit("a")), receipts(("a", "rejected"))))
+    assert not one(spark, agents.tools_silent(F.array(lit("a")), receipts(("a", "denied")))) and one(spark, agents.tools_silent(F.array(lit("a")), receipts(("a", "rejected"))))
     assert not one(spark, agents.tools_silent(F.array().cast("array<string>"), receipts(("a", "failure"))))
 
 
+def test_replay(spark):
+    rng, recorded, calls, want = random.Random(2), [], [], {}
+    for run in range(12):
+        own = [(run, s, rng.choice("ab"), rng.choice("xyz")) for s in range(rng.randrange(0, 14))] + [(run, 50, "memory", "m")]
+        asked = [(run, s, rng.choice("ab"), rng.choice("xyz")) for s in range(rng.randrange(0, 14))]
+        used = set()
+        for _, s, agent, prompt in asked:
+            open_ = [r for r in own if r[2] == agent and r not in used]
+            exact = [r for r in open_ if r[3] == prompt]
+            got = next(iter(exact or open_), None)
+            used.add(got)
+            want[run, agent, s] = (got and got[1], bool(exact))
+        recorded, calls = recorded + own, calls + asked
+    make = lambda rows: spark.createDataFrame(rows, "run int, seq int, agent string, prompt string")
+    served = replay.replayed(make(recorded), make(calls))
+    rows = served.collect()
+    assert {(r.run, r.agent, r.seq): (r.served, r.exact) for r in rows} == want and len(rows) == len(want)
+    told = {r.run: r for r in replay.divergence(served, make(recorded)).collect()}
+    for run in range(12):
+        taken = {(k[1], v[0]) for k, v in want.items() if k[0] == run}
+        left = [r[1] for r in recorded if r[0] == run and r[2] != "memory" and (r[2], r[1]) not in taken]
+        lost = [k[2] for k, v in want.items() if k[0] == run and v[0] is None]
+        assert (told[run].unused_at, told[run].diverged_at) == (min(left, default=None), min(lost, default=None))
+
+
 def test_memories(spark):
     df = spark.createDataFrame([(1, "x", 2, 10, 0.5, "u"), (2, "y", 1, 20, 0.1, "u"), (3, "z", 0, 5, 0.2, "v"), (4, "n", 0, 5, 0.2, None)], "id int, text string, accesses int, last_access int, importance double, user string")
     read = {r.id: r for r in agents.bumped(df, spark.createDataFrame([(1,), (1,), (9,)], "id int"), F.lit(99)).collect()}
@@ -84,7 +132,8 @@ def test_drafts(spark):
     text = "one\ntwo  three\nfour\ntwo three four"
     assert one(spark, golden.quote_lines(F.lit(text), F.lit("two three"))) == (2, 2) and one(spark, golden.quote_lines(F.lit(text), F.lit("three four two"))) == (2, 4)
     assert one(spark, golden.quote_lines(F.lit(text), F.lit("five"))) is None
-    assert [one(spark, golden.no_answer_kind(F.lit(n))) for n in ("future: soon", "odd", None)] == ["future", "unlabelled", "unlabelled"]
+    assert [one(spark, golden.no_answer_kind(F.lit(n))) for n in ("near-miss: soon", "odd", None)] == ["near-miss", "unlabelled", "unlabelled"]
+    assert one(spark, golden.no_answer_kind(F.lit("near-miss: x"), F.lit("lookup"))) is None
     chunks = spark.createDataFrame([("a/x.md", 1, "c2"), ("a/x.md", 0, "c1"), ("a/y.md", 0, "c3"), ("z.md", 2, "c4")], "source_file string, ordinal int, chunk_id string")
     firsts = {r.chunk_id: (r.folder, r.place) for r in golden.first_of_files(chunks, "s").collect()}
     assert set(firsts) == {"c1", "c3", "c4"} and firsts["c4"] == ("", 1) and {firsts["c1"], firsts["c3"]} == {("a", 1), ("a", 2)}
