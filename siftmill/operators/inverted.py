@@ -1,7 +1,7 @@
 """A kept inverted index: postings as tables in a folder, changed by upserts, read by BM25 queries.
 
 An upsert or a delete writes a segment: its postings (by term bucket, sorted by term), its rows with the terms
-they have, the earlier rows it puts out of force (tombstones), what it adds to each term's document frequency,
+they have and their counts, the earlier rows it puts out of force (tombstones), what it adds to each term's document frequency,
 and last a commit row with what it adds to the corpus figures. Folders without a commit don't count, so a
 failed write changes nothing. A posting has the length of its row, so a query reads the postings of its own
 terms, the tombstones and the commits: no text, no tokens, no other term. A merge writes all that is in force
@@ -11,22 +11,40 @@ as one segment; queries see the segments from the last merge on.
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from siftmill.functions import text as T
 from siftmill.operators.bm25 import B, EPSILON, K1
-from siftmill.sources.tables import written_at, remove
+from siftmill.sources.tables import CLEAN_UP
 
 #: Folders that postings are dealt to by the hash of the term.
 BUCKETS = 64
 
+#: Rows of a segment to a task of one bucket's postings.
+SALT_ROWS = 200_000
+
+TERMS = "terms array<struct<term: string, tf: int>>"
 COMMIT = "segment int, base int, n long, tokens long"
 
 
+def _counted(tokens: DataFrame) -> DataFrame:
+    """(id, length, terms) of (id, tokens): each row's terms with their counts, in the row."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            terms = [[{"term": t, "tf": n} for t, n in Counter(own).items()] for own in batch["tokens"]]
+            yield pd.DataFrame({"id": batch["id"], "length": batch["tokens"].map(len), "terms": terms})
+
+    return tokens.mapInPandas(count, f"id {dict(tokens.dtypes)['id']}, length int, {TERMS}")
+
+
 def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
@@ -70,7 +88,7 @@ class InvertedIndex:
 
     def rows(self) -> DataFrame:
         """(id, length, terms, segment) of the rows in force."""
-        return self._read("rows", f"id {self._id()}, length int, terms array<string>, segment int").join(self.dead(), ["id", "segment"], "left_anti")
+        return self._read("rows", f"id {self._id()}, length int, {TERMS}, segment int").join(self.dead(), ["id", "segment"], "left_anti")
 
     def term_frequencies(self) -> DataFrame:
         """(term, df) of the rows in force, added up from the segments' differences."""
@@ -81,46 +99,61 @@ class InvertedIndex:
         """(rows, tokens) in force."""
         return sum(r["n"] for r in self.commits()), sum(r["tokens"] for r in self.commits())
 
-    def _segment(self, fresh: DataFrame, gone: DataFrame, merged: bool = False) -> None:
-        """Writes ``fresh`` (id, tokens) and the tombstones of ``gone`` (id, length, terms, segment)."""
-        number = max((r["segment"] for r in self.commits()), default=-1) + 1
-        at = lambda table: f"{self.path}/{table}/segment={number}"
-        counted = fresh.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("id", "term").agg(
-            F.count(F.lit(1)).cast("int").alias("tf"), F.first("length").alias("length")
-        )
-        placed = counted.withColumn("bucket", bucket_of(F.col("term"), self.buckets))
-        # by ranges of terms and rows: a frequent term is spread over tasks
-        placed.select("term", "id", "tf", "length", "bucket").repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
-        fresh.select("id", F.size("tokens").alias("length"), F.array_distinct("tokens").alias("terms")).write.mode("overwrite").parquet(at("rows"))
-        gone.select("id", F.col("segment").alias("of")).write.mode("overwrite").parquet(at("dead"))
-        new, old = self.spark.read.parquet(at("rows")), self.spark.read.parquet(at("dead")).withColumnRenamed("of", "segment")
-        lost = new.select("length", "terms").limit(0) if merged or not self.commits() else gone.join(old, ["id", "segment"], "left_semi").select("length", "terms")
-        added = new.select(F.explode("terms").alias("term"), F.lit(1).alias("one")).union(lost.select(F.explode("terms"), F.lit(-1)))
-        added.groupBy("term").agg(F.sum("one").alias("added")).where("added <> 0").write.mode("overwrite").parquet(at("terms"))
+    def _write(self, df: DataFrame, table: str, number: int) -> DataFrame:
+        """Writes a table of a segment, whose shuffle files go with the write, and reads it back."""
+        before = self.spark.conf.get(CLEAN_UP)
+        self.spark.conf.set(CLEAN_UP, "true")
+        try:
+            df.write.mode("overwrite").parquet(f"{self.path}/{table}/segment={number}")
+        finally:
+            self.spark.conf.set(CLEAN_UP, before)
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{table}/segment={number}")
+
+    def _write_postings(self, postings: DataFrame, n: int, number: int) -> None:
+        """Postings dealt by bucket and, so that a frequent term is many tasks' work, by the hash of the row."""
+        salts = F.pmod(F.xxhash64("id"), F.lit(math.ceil(n / SALT_ROWS) or 1))
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = postings.select("term", "id", "tf", "length", "bucket").repartition(tasks, "bucket", salts).sortWithinPartitions("bucket", "term", "id")
+        before = self.spark.conf.get(CLEAN_UP)
+        self.spark.conf.set(CLEAN_UP, "true")
+        try:
+            dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={number}")
+        finally:
+            self.spark.conf.set(CLEAN_UP, before)
+
+    def _segment(self, fresh: DataFrame, gone) -> None:
+        """Writes ``fresh`` (id, length, terms) and the tombstones of the rows in force that ``gone`` picks by the new ids."""
+        known = self.commits()
+        number = max((r["segment"] for r in known), default=-1) + 1
+        new = self._write(fresh, "rows", number)
+        kind = dict(fresh.dtypes)["id"]
+        lost = gone(new.select("id")) if known else self.spark.createDataFrame([], f"id {kind}, length int, {TERMS}, segment int")
+        dead = self._write(lost.select("id", F.col("segment").alias("of")), "dead", number)
+        lost = lost.join(dead.withColumnRenamed("of", "segment"), ["id", "segment"], "left_semi")
         figures = [x.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")).first() for x in (new, lost)]
-        base = number if merged else max((r["base"] for r in self.commits()), default=0)
+        each = new.select("id", "length", F.explode("terms").alias("t")).select("t.term", "id", "t.tf", "length", bucket_of(F.col("t.term"), self.buckets).alias("bucket"))
+        self._write_postings(each, figures[0]["n"], number)
+        added = new.select(F.explode("terms.term").alias("term"), F.lit(1).alias("one")).union(lost.select(F.explode("terms.term"), F.lit(-1)))
+        self._write(added.groupBy("term").agg(F.sum("one").alias("added")).where("added <> 0"), "terms", number)
+        base = max((r["base"] for r in known), default=0)
         commit = [(number, base, figures[0]["n"] - figures[1]["n"], figures[0]["tokens"] - figures[1]["tokens"])]
         self.spark.createDataFrame(commit, COMMIT).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
 
-    def _empty(self, kind: str) -> DataFrame:
-        return self.spark.createDataFrame([], f"id {kind}, length int, terms array<string>, segment int")
+    def _in_force(self, ids: DataFrame) -> DataFrame:
+        return self.rows().join(ids, "id", "left_semi").select("id", "length", "terms", "segment")
 
     def upsert(self, chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", order_col: str | None = None) -> None:
         """Inserts rows, or replaces those of the same identifier."""
         text = F.coalesce(F.col(text_col), F.lit(""))
         last = F.max_by(text, F.struct(order_col, text)) if order_col else F.max(text)
         once = chunks.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(last.alias("text"))
-        fresh, at = written_at(once.select("id", T.bm25_tokens(F.col("text")).alias("tokens")), "upsert")
-        kind = dict(fresh.dtypes)["id"]
-        gone = self.rows().join(fresh.select("id"), "id", "left_semi") if self.commits() else self._empty(kind)
-        self._segment(fresh, gone.select("id", "length", "terms", "segment"))
-        remove(self.spark, at)
+        self._segment(_counted(once.select("id", T.bm25_tokens(F.col("text")).alias("tokens"))), self._in_force)
 
     def delete(self, ids: DataFrame, id_col: str = "chunk_id") -> None:
         """Puts the rows of these identifiers out of force."""
         if self.commits():
-            gone = self.rows().join(ids.select(F.col(id_col).alias("id")), "id", "left_semi").select("id", "length", "terms", "segment")
-            self._segment(self.spark.createDataFrame([], f"id {self._id()}, tokens array<string>"), gone)
+            none = self.spark.createDataFrame([], f"id {self._id()}, length int, {TERMS}")
+            self._segment(none, lambda _: self._in_force(ids.select(F.col(id_col).alias("id"))))
 
     def merge(self) -> None:
         """Writes what is in force as one segment, out of the postings: nothing is tokenised again."""
@@ -128,13 +161,12 @@ class InvertedIndex:
             return
         kind = self._id()
         live = self.postings().join(self.dead(), ["id", "segment"], "left_anti")
-        number = max(r["segment"] for r in self.commits()) + 1
-        at = lambda table: f"{self.path}/{table}/segment={number}"
-        live.select("term", "id", "tf", "length", "bucket").repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
-        self.rows().select("id", "length", "terms").write.mode("overwrite").parquet(at("rows"))
-        self.spark.createDataFrame([], f"id {kind}, of int").write.mode("overwrite").parquet(at("dead"))
-        self.term_frequencies().select("term", F.col("df").alias("added")).write.mode("overwrite").parquet(at("terms"))
-        self.spark.createDataFrame([(number, number, *self.totals())], COMMIT).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        number, totals = max(r["segment"] for r in self.commits()) + 1, self.totals()
+        self._write_postings(live, totals[0], number)
+        self._write(self.rows().select("id", "length", "terms"), "rows", number)
+        self._write(self.spark.createDataFrame([], f"id {kind}, of int"), "dead", number)
+        self._write(self.term_frequencies().select("term", F.col("df").alias("added")), "terms", number)
+        self.spark.createDataFrame([(number, number, *totals)], COMMIT).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
 
     def postings_of(self, terms: list[str]) -> DataFrame:
         """Postings in force of a few terms: their buckets' folders, and of these the row groups of the terms."""
