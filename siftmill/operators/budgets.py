@@ -5,22 +5,16 @@ Widths are those of JSON text in ASCII with ``, `` and ``: `` between its parts,
 
 from __future__ import annotations
 
-import json
-import re
-from bisect import bisect_right
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftmill.operators.trees import ascii_letter, json_string
+from siftmill.sources.tables import written
+
 # Characters of a value, of a tool's result (the least budget, too) and of a list of sources.
 VALUE_CHARS, OUTPUT_CHARS, LEAST_OUTPUT, SOURCES_CHARS = 200, 2000, 200, 3600
 COUNTS = "truncated"
 
-#: A string of JSON text, with the colon behind it if it is a key.
-_STRING = re.compile(r'"(?:[^"\\]|\\.)*"(:?)')
-
 
 def json_width(text: Column) -> Column:
     """Characters that ``text`` takes inside a JSON string; NULL for NULL."""
@@ -29,92 +23,138 @@ def json_width(text: Column) -> Column:
     return F.char_length(F.regexp_replace(pairs, r"[^ -~]", "x" * 6))
 
 
-def _with_values(text: str, change: Callable[[str], str]) -> str:
-    """JSON ``text`` with each string that isn't a key changed."""
-    def own(found: re.Match) -> str:
-        return found[0] if found[1] else json.dumps(change(json.loads(found[0])))
+def _pieces(json: Column) -> Column:
+    """The strings of JSON text, quotes included, and what stands between them, in order."""
+    return F.regexp_extract_all(json, F.lit(r'"(?:[^"\\]|\\.)*+"|[^"]++'), F.lit(0))
+
+
+def _in_ascii(string: Column) -> Column:
+    """A JSON string with its characters that aren't ASCII escaped; its own escapes stay."""
+    return F.when(F.regexp_like(string, F.lit("[^ -~]")), F.array_join(F.transform(F.split(string, ""), ascii_letter), "")).otherwise(string)
 
-    return _STRING.sub(own, text)
 
+def _between(piece: Column) -> Column:
+    """What stands between strings, with one space behind each comma and colon and none elsewhere."""
+    return F.regexp_replace(F.regexp_replace(piece, r"\s+", ""), "([,:])", "$1 ")
 
-def _canonical(text: str | None) -> str | None:
-    try:
-        return None if text is None else json.dumps(json.loads(text))
-    except ValueError:
-        return None
+
+def spaced(json: Column) -> Column:
+    """Valid JSON text in ASCII with one space behind each comma and colon, none elsewhere."""
+    return F.array_join(F.transform(_pieces(json), lambda t: F.when(t.startswith('"'), _in_ascii(t)).otherwise(_between(t))), "")
+
+
+def _strings(json: Column) -> Column:
+    """struct(piece, value) of each piece, spaced; ``value`` is the text of a string that isn't a key, else NULL.
+
+    The pieces are bound to a lambda's variable, as they would be made again for each of them otherwise.
+    """
+    text = lambda t: F.get(F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>"), F.lit(0))
+    is_value = lambda pieces, t, i: t.startswith('"') & ~F.ltrim(F.coalesce(F.get(pieces, i + 1), F.lit(""))).startswith(":")
+    told = lambda pieces: F.transform(pieces, lambda t, i: F.struct(F.when(t.startswith('"'), t).otherwise(_between(t)).alias("piece"), F.when(is_value(pieces, t, i), text(t)).alias("value")))
+    return F.get(F.transform(F.array(_pieces(json)), told), F.lit(0))
 
 
 def cut_values(arguments: Column, limit: int = VALUE_CHARS) -> Column:
     """The JSON with each string over ``limit`` characters cut to it and its length noted, at any depth; NULL
     where it isn't JSON."""
-    def cut(value: str) -> str:
-        return value if len(value) <= limit else f"{value[:limit]}… ({len(value)} chars)"
+    def cut(s: Column) -> Column:
+        n = F.char_length(s["value"])
+        note = F.concat(F.substring(s["value"], 1, limit), F.lit("… ("), n.cast("string"), F.lit(" chars)"))
+        return F.when(n > limit, json_string(note)).otherwise(_in_ascii(s["piece"]))
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if (own := _canonical(t)) is None else _with_values(own, cut))
+    return F.when(F.try_parse_json(arguments).isNotNull(), F.array_join(F.transform(_strings(arguments), cut), ""))
 
-    return run(arguments)
 
+def _cut_to(value: Column, limit: Column) -> Column:
+    return F.concat(F.left(value, limit), F.lit("…[+"), (F.char_length(value) - limit).cast("string"), F.lit(" chars]"))
 
-def _shorter(value: str, limit: int) -> str:
-    cut = f"{value[:limit]}…[+{len(value) - limit} chars]" if len(value) > limit else value
-    return min(value, cut, key=lambda v: len(json.dumps(v)))  # the value itself where a cut saves nothing
 
+def _shortened(parts: Column, budget: int) -> Column:
+    """The pieces joined with their strings cut to the largest common length that the budget allows; NULL if none does.
 
-def _longest(form: Callable[[int], str], sizes: range, budget: int) -> str | None:
-    """The form of the largest size within the budget; forms don't get shorter as sizes grow."""
-    fitting = bisect_right(sizes, budget, key=lambda n: len(form(n)))
-    return form(sizes[fitting - 1]) if fitting else None
+    Of each string the shorter JSON of itself and its cut counts. The length is narrowed by halves on widths
+    alone: a string's width is that of its cut's text, so nothing is put together before it is known.
+    """
+    kept = F.aggregate(parts, F.lit(0), lambda n, s: n + F.when(s["value"].isNull(), F.char_length(s["piece"])).otherwise(0))
+    cut_width = lambda s, limit: F.least(F.char_length(s["piece"]), F.when(F.char_length(s["value"]) > limit, 2 + json_width(_cut_to(s["value"], limit))).otherwise(F.char_length(s["piece"])))
+    width = lambda limit: kept + F.aggregate(parts, F.lit(0), lambda n, s: n + F.when(s["value"].isNotNull(), cut_width(s, limit)).otherwise(0))
+    longest = F.least(F.lit(budget), F.aggregate(parts, F.lit(0), lambda n, s: F.greatest(n, F.coalesce(F.char_length(s["value"]), F.lit(0)))))
 
+    def halve(state: Column, step: Column) -> Column:
+        middle = state["low"] + step
+        fits = (middle <= longest) & (width(middle) <= budget)
+        return F.struct(F.when(fits, middle).otherwise(state["low"]).alias("low"))
 
-def _with_first(output: dict, within: str | None, name: str, n: int) -> str:
-    """The object with the first ``n`` items of one of its lists, and the counts right behind them."""
-    holder = output if within is None else output[within]
-    parts = {k: v for k, v in holder.items() if k != COUNTS}
-    before = list(parts)[: list(parts).index(name)]
-    fewer = {k: parts.pop(k) for k in before} | {name: parts.pop(name)[:n], COUNTS: {"shown": n, "of": len(holder[name])}} | parts
-    return json.dumps(fewer if within is None else {**output, within: fewer})
+    steps = F.array(*[F.lit(1 << k) for k in range(budget.bit_length(), -1, -1)])
+    limit = F.when(width(F.lit(0)) <= budget, F.aggregate(steps, F.struct(F.lit(0).alias("low")), halve)["low"])
+    changed = lambda s, at: F.when(s["value"].isNull() | (F.char_length(s["value"]) <= at) | (2 + json_width(_cut_to(s["value"], at)) >= F.char_length(s["piece"])), s["piece"]).otherwise(json_string(_cut_to(s["value"], at)))
+    return F.element_at(F.transform(F.array(limit), lambda at: F.when(at.isNotNull(), F.array_join(F.transform(parts, lambda s: changed(s, at)), ""))), 1)
 
 
-def rendered(text: str | None, budget: int) -> str | None:
-    """A tool's JSON object in at most ``budget`` characters; None where it isn't one.
+def _members(json: Column) -> Column:
+    """struct(key, text, items) of an object's members in its own order; ``items`` of a list, else NULL. NULL for what isn't an object."""
+    whole = F.map_entries(F.from_json(json, "map<string,variant>"))
+    show = lambda v: spaced(F.to_json(v))
+    items = lambda v: F.transform(F.try_variant_get(v, "$", "array<variant>"), show)
+    return F.transform(whole, lambda m: F.struct(m["key"].alias("key"), show(m["value"]).alias("text"), items(m["value"]).alias("items")))
 
-    Whole if it fits. Else with fewer items of its longest list, a field of it or of its ``content``; else
-    with long strings shortened alike; else both, with one item; else the start of the text as a string.
-    """
-    whole = _canonical(text)
-    output = None if whole is None else json.loads(whole)
-    if not isinstance(output, dict):
-        return None
-    if len(whole) <= budget:
-        return whole
-    holders = [(None, output)] + [("content", output.get("content"))]
-    lists = [(within, k) for within, holder in holders if isinstance(holder, dict) for k, v in holder.items() if isinstance(v, list) and v and k != COUNTS]
-    holder_of = dict(holders)
-    place = max(lists, key=lambda at: len(json.dumps(holder_of[at[0]][at[1]])), default=None)
-
-    def shortened(json_text: str) -> str | None:
-        longest = max((len(json.loads(m[0])) for m in _STRING.finditer(json_text) if not m[1]), default=0)
-        return _longest(lambda limit: _with_values(json_text, lambda v: _shorter(v, limit)), range(longest + 1), budget)
-
-    fewer = place and _longest(lambda n: _with_first(output, *place, n), range(1, len(holder_of[place[0]][place[1]])), budget)
-    return (
-        fewer or shortened(whole) or (place and shortened(_with_first(output, *place, 1)))
-        or _longest(lambda limit: json.dumps(_shorter(whole, limit)), range(len(whole) + 1), budget)
-    )
 
+def _joined(members: Column) -> Column:
+    return F.array_join(F.transform(members, lambda m: F.concat(json_string(m["key"]), F.lit(": "), m["text"])), ", ")
 
-def fitted_outputs(outputs: Column, budget: int = OUTPUT_CHARS) -> Column:
-    """:func:`rendered` of a column of JSON texts."""
-    if budget < LEAST_OUTPUT:
-        raise ValueError(f"a budget has at least {LEAST_OUTPUT} characters")
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: rendered(t, budget))
+def fitted_outputs(rows: DataFrame, output: str, to: str = "fitted", budget: int = OUTPUT_CHARS) -> DataFrame:
+    """``rows`` with a tool's JSON object in at most ``budget`` characters; NULL where it isn't one.
 
-    return run(outputs)
+    Whole if it fits. Else with the first items of its longest list (a member of it or of its ``content``, the first of equal ones),
+    as many as fit, and ``truncated`` with their number and that of all right behind it, in place of one there was.
+    Else with all strings that aren't keys cut to one length; else both, with one item; else the start of the
+    text as a string. Members keep their order in the object and in ``content``; below, keys are sorted where a list is cut.
+    What the items take is added up once over the list, as far as a budget can hold any. The rows are written to the
+    shared folder between the steps.
+    """
+    if budget < LEAST_OUTPUT:
+        raise ValueError(f"a budget has at least {LEAST_OUTPUT} characters")
+    json = F.col(output)
+    own = rows.withColumn("_whole", F.when(F.schema_of_variant(F.try_parse_json(json)).startswith("OBJECT"), spaced(json)))
+    over = F.char_length("_whole") > budget
+    content = F.try_element_at(F.from_json(json, "map<string,string>"), F.lit("content"))
+    own = own.withColumn("_top", F.when(over, _members(json))).withColumn("_content", F.when(over, _members(content)))
+    lists = lambda name, inner: F.transform(
+        F.filter(F.coalesce(F.col(name), F.array().cast("array<struct<key:string,text:string,items:array<string>>>")), lambda m: (F.size(m["items"]) > 0) & (m["key"] != COUNTS)),
+        lambda m, i: F.struct(F.char_length(m["text"]).alias("width"), F.lit(not inner).alias("outer"), (-i).alias("place"), m["key"].alias("key"), m["items"].alias("items")),
+    )
+    own = own.withColumn("_list", F.array_max(F.concat(lists("_top", False), lists("_content", True))))
+    own = written(own, "outputs")  # each written table also keeps the plan's expressions from growing into each other
+    key, inner = F.col("_list.key"), ~F.col("_list.outer")
+    held = F.filter(F.when(inner, F.col("_content")).otherwise(F.col("_top")), lambda m: m["key"] != COUNTS)
+    at = F.array_position(F.transform(held, lambda m: m["key"]), key).cast("int")
+    around = lambda members, i: (F.concat(_joined(F.slice(members, F.lit(1), i - 1)), F.when(i > 1, ", ").otherwise("")), F.concat(F.when(i < F.size(members), ", ").otherwise(""), _joined(F.slice(members, i + 1, F.size(members)))))
+    before, after = around(held, at)
+    place = F.array_position(F.transform("_top", lambda m: m["key"]), F.lit("content")).cast("int")
+    outer_before, outer_after = around(F.col("_top"), place)
+    own = own.withColumn("_before", F.concat(F.lit("{"), F.when(inner, F.concat(outer_before, F.lit('"content": {'))).otherwise(""), before, json_string(key), F.lit(": [")))
+    own = own.withColumn("_after", F.concat(after, F.lit("}"), F.when(inner, F.concat(outer_after, F.lit("}"))).otherwise("")))
+    own = written(own.drop("_top", "_content"), "outputs")
+    all_ = F.size("_list.items")
+    counts = lambda n: F.concat(F.lit(f'], "{COUNTS}": {{"shown": '), n.cast("string"), F.lit(', "of": '), all_.cast("string"), F.lit("}"))
+    fixed = F.char_length("_before") + F.char_length("_after")
+    first = F.slice("_list.items", 1, budget)
+
+    def take(state: Column, item: Column) -> Column:
+        n, used = state["n"] + 1, state["used"] + F.char_length(item) + F.when(state["n"] > 0, 2).otherwise(0)
+        fits = (n < all_) & (fixed + used + F.char_length(counts(n)) <= budget)
+        return F.struct(n.alias("n"), used.alias("used"), F.when(fits, n).otherwise(state["best"]).alias("best"))
+
+    zero = lambda name: F.lit(0).alias(name)
+    own = own.withColumn("_n", F.aggregate(first, F.struct(zero("n"), zero("used"), zero("best")), take)["best"])
+    with_first = lambda n: F.concat("_before", F.array_join(F.slice("_list.items", F.lit(1), n), ", "), counts(n), "_after")
+    own = own.withColumn("_fewer", F.when(F.col("_n") > 0, with_first(F.col("_n"))))
+    hard = over & F.col("_fewer").isNull()
+    own = own.withColumns({"_parts": F.when(hard, _strings(F.col("_whole"))), "_one": F.when(hard & (all_ > 0), _strings(with_first(F.lit(1)))), "_text": F.when(hard, F.array(F.struct(json_string(F.col("_whole")).alias("piece"), F.col("_whole").alias("value"))))})
+    own = written(own, "outputs")
+    told = F.when(~over, F.col("_whole")).otherwise(F.coalesce("_fewer", _shortened(F.col("_parts"), budget), _shortened(F.col("_one"), budget), _shortened(F.col("_text"), budget)))
+    return written(own.select(*[F.col(c) for c in rows.columns if c != to], told.alias(to)), "outputs")
 
 
 def _digits(number: Column) -> Column:

@@ -53,17 +53,22 @@ def canonical(json: Column) -> Column:
     return F.to_json(F.try_parse_json(json))
 
 
+def ascii_letter(c: Column) -> Column:
+    """One character as it stands in JSON text in ASCII, but for quotes, backslashes and the short escapes."""
+    n = F.ascii(c)  # its code point
+    unit = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n.cast("long")), 4, "0")))
+    pair = F.concat(unit(F.lit(0xD800) + F.shiftright(n - 0x10000, 10)), unit(F.lit(0xDC00) + (n - 0x10000).bitwiseAND(0x3FF)))
+    return F.when(n > 0xFFFF, pair).when((n > 0x7E) | (n < 0x20), unit(n)).otherwise(c)
+
+
 def json_string(text: Column) -> Column:
     """The text as a JSON string in ASCII: what isn't is written as \\u and four small hexadecimal digits, in pairs beyond them."""
     plain = F.to_json(F.array(text))
     plain = F.substring(plain, 2, F.char_length(plain) - 2)
-    unit = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n.cast("long")), 4, "0")))
     short = F.create_map(*[F.lit(x) for pair in {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}.items() for x in pair])
 
     def letter(c: Column) -> Column:
-        n = F.ascii(c)  # its code point
-        pair = F.concat(unit(F.lit(0xD800) + F.shiftright(n - 0x10000, 10)), unit(F.lit(0xDC00) + (n - 0x10000).bitwiseAND(0x3FF)))
-        return F.coalesce(F.try_element_at(short, c), F.when(n > 0xFFFF, pair).when((n > 0x7E) & (n != 0x7F) | (n < 0x20), unit(n)).otherwise(c))
+        return F.coalesce(F.try_element_at(short, c), ascii_letter(c))
 
     escaped = F.concat(F.lit('"'), F.array_join(F.transform(F.split(text, ""), letter), ""), F.lit('"'))
     return F.when(F.regexp_like(text, F.lit(r"[^\x20-\x7E\n\r\t]")), escaped).otherwise(plain)

@@ -180,12 +180,37 @@ def ablation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 TABLE_SQL = f"""WITH {ABLATION}, t AS ({ARMS_SQL.split(ABLATION)[1].strip()})
 SELECT '| split | arm | n | rerank p95 |' || chr(10) || '|---|---|---|---|' || chr(10) || string_agg('| ' || split || ' | ' || arm || ' | ' || n || ' | ' || CASE WHEN rerank_ms_p95 IS NULL THEN 'n/a' ELSE printf('%.3f', rerank_ms_p95) END || ' |', chr(10) ORDER BY split, arm) AS text FROM t"""
 
+def cut_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as the arguments of a call, its long values cut."""
+    rows = read_table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.to_json(F.struct("doc_id", F.struct("text", "source").alias("inner"))).alias("json"))
+    cut = rows.withColumn("cut", budgets.cut_values(F.col("json")))
+    return cut.select("doc_id", F.get_json_object("cut", "$.inner.text").alias("text"), F.get_json_object("cut", "$.doc_id").alias("number"), F.get_json_object("cut", "$.inner.source").alias("source"))
+
+
+CUT_SQL = """SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '… (' || length(text) || ' chars)' ELSE text END AS text, doc_id::VARCHAR AS number,
+CASE WHEN length(source) > 200 THEN substr(source, 1, 200) || '… (' || length(source) || ' chars)' ELSE source END AS source FROM documents WHERE text IS NOT NULL"""
+
+
+def fitted_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as a tool's result within the budget: as many first turns as fit; ASCII only, as SQL doesn't escape others."""
+    turns = read_table(spark, sf_dir, "conversations").where("NOT regexp_like(text, '[^ -~]')")
+    lists = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: F.left(t["text"], F.lit(900))).alias("turns"))
+    rows = lists.select("conv_id", F.to_json(F.struct(F.col("conv_id").alias("id"), F.struct("turns", F.lit("end").alias("last")).alias("content"))).alias("json"))
+    return budgets.fitted_outputs(rows, "json").where(F.col("fitted").contains('"shown"') | (F.char_length("json") <= 2000)).select("conv_id", "fitted")
+
+
+FITTED_SQL = r"""WITH t AS (SELECT conv_id, turn, to_json(left(text, 900))::VARCHAR AS j FROM conversations WHERE NOT regexp_matches(text, '[^ -~]')), c AS (SELECT conv_id, list(j ORDER BY turn) AS js FROM t GROUP BY conv_id),
+o AS (SELECT conv_id, len(js) AS n, '{"id": ' || conv_id || ', "content": {"turns": [' || array_to_string(js, ', ') || '], "last": "end"}}' AS whole, js FROM c),
+g AS (SELECT conv_id, n, js, unnest(range(1, n)) AS k FROM o WHERE length(whole) > 2000),
+p AS (SELECT conv_id, k, '{"id": ' || conv_id || ', "content": {"turns": [' || array_to_string(js[1:k], ', ') || '], "truncated": {"shown": ' || k || ', "of": ' || n || '}, "last": "end"}}' AS cut FROM g)
+SELECT conv_id, whole AS fitted FROM o WHERE length(whole) <= 2000 UNION ALL SELECT conv_id, arg_max(cut, k) FROM p WHERE length(cut) <= 2000 GROUP BY conv_id"""
+
 QUERIES = {
     f.__name__: f for f in (
-        source_listing, approval_rows, review_times, answer_findings, span_rows, span_review_scores, ablation_arms, ablation_mean_differences, ablation_intervals, ablation_table,
+        cut_arguments, fitted_results, source_listing, approval_rows, review_times, answer_findings, span_rows, span_review_scores, ablation_arms, ablation_mean_differences, ablation_intervals, ablation_table,
     )
 }
 ORACLES = {
-    "source_listing": LISTING_SQL, "approval_rows": APPROVALS_SQL, "review_times": TIMES_SQL, "answer_findings": FINDINGS_SQL, "span_rows": SPANS_SQL, "span_review_scores": SCORES_SQL,
+    "cut_arguments": CUT_SQL, "fitted_results": FITTED_SQL, "source_listing": LISTING_SQL, "approval_rows": APPROVALS_SQL, "review_times": TIMES_SQL, "answer_findings": FINDINGS_SQL, "span_rows": SPANS_SQL, "span_review_scores": SCORES_SQL,
     "ablation_arms": ARMS_SQL, "ablation_mean_differences": DIFFERENCES_SQL, "ablation_table": TABLE_SQL,
 }

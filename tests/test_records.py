@@ -17,7 +17,7 @@ def test_line_numbers_over_splits(spark, tmp_path):
         texts[name] = [rng.choice(["", "  ", json.dumps({"id": f"q{rng.randrange(60)}", "n": i, "v": rng.choice([1, 2.5, "x", None])}), "{bad", "[1, 2]", '"text"']) for i in range(300)]
         (tmp_path / name).write_text("\n".join(texts[name]) + "\n")
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
     try:
         lines = jsonlines.numbered_lines(spark, str(tmp_path))
         assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20

@@ -1,6 +1,7 @@
 """Budgets, people's reviews and reports on hand-made cases, and against plain versions."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -23,22 +24,60 @@ def test_cut_values(spark):
     assert got[1] is None and got[2] is None and got[3] == "[]" and got[4] == given[4]
 
 
-def test_rendered_outputs(spark):
+def fitted(spark, values, budget):
+    rows = spark.createDataFrame([(i, v if v is None or isinstance(v, str) else json.dumps(v)) for i, v in enumerate(values)], "i int, t string")
+    return [r.fitted for r in budgets.fitted_outputs(rows, "t", budget=budget).orderBy("i").collect()]
+
+
+def test_fitted_outputs(spark):
     items = {"content": {"rows": list(range(500)), "truncated": 1, "end": "e"}, "ok": True}
-    text = budgets.rendered(json.dumps(items), 300)
+    strings, both, keys = {"a": "x" * 900, "b": "y" * 10}, {"rows": ["z" * 900] * 40}, {str(i): i for i in range(900)}
+    letters = {"t": "ü" * 300 + '"' * 90, "n": 1.5, "s": [None, "😀" * 40]}
+    text, whole, one, start, none, no_object, empty, odd = fitted(spark, [items, strings, both, keys, None, "[1]", "{}", letters], 300)
     shown = json.loads(text)["content"]
     n = shown["truncated"]["shown"]
-    assert list(shown) == ["rows", "truncated", "end"] and shown["rows"] == list(range(n)) and shown["truncated"]["of"] == 500
+    assert list(shown) == ["rows", "truncated", "end"] and shown["rows"] == list(range(n)) and shown["truncated"]["of"] == 500 and json.loads(text)["ok"] is True
     more = {"content": {"rows": list(range(n + 1)), "truncated": {"shown": n + 1, "of": 500}, "end": "e"}, "ok": True}
-    assert len(text) <= 300 < len(json.dumps(more))
-    strings = budgets.rendered(json.dumps({"a": "x" * 900, "b": "y" * 10}), 250)
-    assert json.loads(strings)["b"] == "y" * 10 and 247 <= len(strings) <= 250 and json.loads(strings)["a"].endswith("chars]")
-    both = json.loads(budgets.rendered(json.dumps({"rows": ["z" * 900] * 40}), 250))
-    assert both["truncated"] == {"shown": 1, "of": 40} and both["rows"][0].startswith("zzz")
-    keys = budgets.rendered(json.dumps({str(i): i for i in range(900)}), 250)
-    assert len(keys) <= 250 and json.loads(keys).startswith('{"0": 0')
-    df = spark.createDataFrame([(json.dumps(items),), (None,), ("[1]",), ("{}",)], "t string").select(budgets.fitted_outputs(F.col("t"), 300).alias("x"))
-    assert [r.x for r in df.collect()] == [text, None, None, "{}"]
+    assert len(text) <= 300 < len(json.dumps(more)) and text == json.dumps(json.loads(text))
+    assert json.loads(whole)["b"] == "y" * 10 and 297 <= len(whole) <= 300 and json.loads(whole)["a"].endswith("chars]")
+    assert json.loads(one)["truncated"] == {"shown": 1, "of": 40} and json.loads(one)["rows"][0].startswith("zzz") and len(one) <= 300
+    assert len(start) <= 300 and json.loads(start).startswith('{"0": 0') and (none, no_object, empty) == (None, None, "{}")
+    assert len(odd) <= 300 and odd.isascii() and json.loads(odd)["n"] == 1.5
+
+
+def test_fits_like_trying_every_number(spark):
+    """Budgets against every number of items and every length of strings, each rendered."""
+    rng, values = random.Random(4), []
+    for _ in range(40):
+        long = [rng.choice(["a", "é", "b c", '"']) * rng.randrange(1, 60) for _ in range(rng.randrange(0, 30))]
+        value = {"k": "v" * rng.randrange(0, 400), "rows": long, "more": [rng.randrange(10**6) for _ in range(rng.randrange(0, 60))], "truncated": 3, "z": {"b": 1}}
+        values.append({"status": 1, "content": value, "last": "end"} if rng.random() < 0.5 else value)
+
+    def plain(value, budget):
+        shown = json.dumps(value)
+        if len(shown) <= budget:
+            return shown
+        inner = value.get("content")
+        pools = [(value, None), (inner, "content")] if isinstance(inner, dict) else [(value, None)]
+        lists = [(len(json.dumps(v)), pool, name, key) for pool, name in pools for key, v in pool.items() if isinstance(v, list) and v and key != "truncated"]
+        best = max(lists, key=lambda x: x[0], default=None)
+        if best:
+            _, pool, name, key = best
+            for n in range(len(pool[key]) - 1, 0, -1):
+                new = {}
+                for k, v in pool.items():
+                    if k == key:
+                        new |= {k: v[:n], "truncated": {"shown": n, "of": len(v)}}
+                    elif k != "truncated":
+                        new[k] = v
+                shown = json.dumps(new if name is None else {**value, "content": new})
+                if len(shown) <= budget:
+                    return shown
+        return None  # the other ways are looked at by length below
+
+    for value, got in zip(values, fitted(spark, values, 260)):
+        want = plain(value, 260)
+        assert len(got) <= 260 and (want is None or got == want), (value, got, want)
 
 
 def plain_listing(documents, budget):
