@@ -1,18 +1,14 @@
-import math
 import random
 import sys
 from collections import Counter, defaultdict
 
 sys.path.insert(0, "tests")
 
-import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siftmill.llm import ball_simhash, license_zstd, systematic_mix
 from siftmill.llm.storage import word_count
-from siftmill.operators import evaluation
-from siftmill.plans import evaluation_queries
 
 
 def test_short_texts_keep_their_language(spark):
@@ -77,36 +73,6 @@ def test_mix_keeps_rows_without_identifier(spark):
     assert Counter(map(tuple, systematic_mix.mix_documents(docs.repartition(3)).collect())) == Counter(map(tuple, got))
 
 
-def brute_interval(values, means):
-    means = sorted(means)
-    return len(values), math.fsum(values) / len(values), means[249], means[9749]
-
-
-def test_paired_bootstrap(spark, monkeypatch):
-    """The registered query against all 10,000 resamples drawn one by one, and near Python's own draws."""
-    asked = {}
-    whole = evaluation.paired_bootstrap
-    monkeypatch.setattr(evaluation, "paired_bootstrap", lambda rows, *a, **k: (asked.update(rows=rows, more=k), whole(rows, *a, **k))[1])
-    got = {r.lang: tuple(r)[1:] for r in evaluation_queries.paired_bootstrap(spark, "/root/testdata/sf0.001").collect()}
-    rows = defaultdict(list)
-    for r in asked["rows"].collect():
-        rows[r.lang].append(r.difference)
-    assert set(got) == set(rows) and not asked["more"]
-    groups = list(rows.items())
-    for lang, values in groups:
-        kinds = sorted(Counter(values).items())
-        own, counts = np.array([k for k, _ in kinds]), np.array([c for _, c in kinds])
-        n = len(values)
-        means = [math.fsum(own * np.random.default_rng([0, i]).multinomial(n, counts / n)) / n for i in range(10_000)]
-        assert got[lang] == brute_interval(values, means)
-        rng = random.Random(0)
-        python = brute_interval(values, (math.fsum(rng.choices(values, k=n)) / n for _ in range(10_000)))
-        assert got[lang][:2] == python[:2] and all(abs(a - b) <= 2 / n + 1e-9 for a, b in zip(got[lang][2:], python[2:])), (lang, got[lang], python)
-    odd = spark.createDataFrame([(None, 0.5), (None, -0.25), ("a", 1.0)], "g string, d double")
-    found = {r.g: tuple(r)[1:] for r in evaluation.paired_bootstrap(odd, ["g"], "d").collect()}
-    assert found == {None: (2, 0.125, -0.25, 0.5), "a": (1, 1.0, 1.0, 1.0)} and evaluation.paired_bootstrap(odd.limit(0), ["g"], "d").count() == 0
-
-
 def test_near_copies_of_a_repeated_identifier(spark):
     """Rows of one identifier with different texts are judged by their own groups; every group keeps a row."""
     rng = random.Random(5)
