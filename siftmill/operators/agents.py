@@ -262,10 +262,11 @@ def tools_silent(listed: Column, receipts: Column) -> Column:
     return (F.coalesce(F.size(listed), F.lit(0)) > 0) & ~F.coalesce(spoke, F.lit(False))
 
 
-def compared_outputs(original: DataFrame, fork: DataFrame) -> DataFrame:
-    """(sid, original, fork) of subtasks whose outputs differ, NULL where a side hasn't the subtask."""
-    a, b = original.select("sid", F.col("output").alias("original")), fork.select("sid", F.col("output").alias("fork"))
-    return a.join(b, "sid", "full").where(~F.col("original").eqNullSafe(F.col("fork")))
+def compared_outputs(original: DataFrame, fork: DataFrame, runs: list[str] | None = None) -> DataFrame:
+    """(runs..., sid, original, fork) of subtasks whose outputs differ, NULL where a side hasn't the subtask."""
+    keys = [*(runs or []), "sid"]
+    a, b = original.select(*keys, F.col("output").alias("original")), fork.select(*keys, F.col("output").alias("fork"))
+    return a.join(b, keys, "full").where(~F.col("original").eqNullSafe(F.col("fork")))
 
 
 def first_unused(recorded: DataFrame, served: DataFrame, run: str, order: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftmill.functions import text as T
 from siftmill.operators import evaluation as E
-from siftmill.operators.prefix import joined_on, nearest_ranks, running_totals
+from siftmill.operators.prefix import joined_on, medians, nearest_ranks, running_totals
 from siftmill.operators.rendering import source_label
 
 # The refusal asked of a model, a passing rating, and the decimals of a configured threshold.
@@ -159,9 +159,9 @@ def refusal_scores(records: DataFrame, configured: float | None = None) -> tuple
 def refusals_by_kind(records: DataFrame, threshold: float) -> DataFrame:
     """(kind, split, n, refused, median): no_answer questions that a gate at ``threshold`` refuses; the median is the kind's."""
     rows = records.where("category = 'no_answer'")
-    middle = rows.groupBy("no_answer_kind").agg(F.median("top_score").alias("median"))
+    middle = medians(rows, ["no_answer_kind"], "top_score").select("no_answer_kind", "median")
     counts = rows.groupBy("no_answer_kind", "split").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("top_score") < threshold).alias("refused"))
-    return counts.join(middle, "no_answer_kind")
+    return joined_on(counts, middle, ["no_answer_kind"], "left")
 
 
 def agreement(records: DataFrame) -> DataFrame:

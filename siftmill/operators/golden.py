@@ -121,10 +121,27 @@ def promoted(golden: DataFrame, candidates: DataFrame, id_col: str, strata: list
 
 
 def quote_lines(text: Column, quote: Column) -> Column:
-    """struct(first, last): the shortest run of lines, from 1, whose text holds the quote, white space normalised."""
-    lines, asked = F.split(text, "\n"), T.normalize_ws(quote)
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size(lines)), lambda a: F.transform(
-        F.sequence(a, F.least(a + F.lit(20), F.size(lines))), lambda b: F.struct((b - a).alias("n"), a.alias("first"), b.alias("last")))))
-    holds = F.filter(spans, lambda s: F.contains(T.normalize_ws(F.array_join(F.slice(lines, s["first"], s["n"] + 1), "\n")), asked))
-    best = F.array_min(holds)
-    return F.when(best.isNotNull(), F.struct(best["first"].alias("first"), best["last"].alias("last")))
+    """struct(first, last): the shortest run of lines, from 1, whose text holds the quote, white space normalised; the
+    first of equally short ones, NULL without one.
+
+    From each line on, the rest of the text is searched once for the quote; where it starts within that line, the
+    run ends with the line that its last character is in, however many lines that takes.
+    """
+    lines, asked = F.transform(F.split(text, "\n"), T.normalize_ws), T.normalize_ws(quote)
+
+    def run(lines: Column, at: Column) -> Column:
+        rest = F.filter(F.transform(F.slice(lines, at, F.size(lines)), lambda line, i: F.struct(line.alias("line"), (at + i).alias("number"))), lambda x: x["line"] != "")
+        place = F.position(asked, F.array_join(F.transform(rest, lambda x: x["line"]), " "))
+        begins = (F.get(lines, at - 1) != "") & (place > 0) & (place <= F.char_length(F.get(lines, at - 1)))
+
+        def reach(state: Column, x: Column) -> Column:
+            used = state["used"] + F.char_length(x["line"]) + 1
+            last = F.when(state["last"].isNull() & (used >= place + F.char_length(asked)), x["number"]).otherwise(state["last"])
+            return F.struct(used.alias("used"), last.alias("last"))
+
+        last = F.aggregate(rest, F.struct(F.lit(0).alias("used"), F.lit(None).cast("int").alias("last")), reach)["last"]
+        return F.when(begins, F.struct((last - at).alias("n"), at.alias("first"), last.alias("last")))
+
+    runs = F.get(F.transform(F.array(lines), lambda own: F.transform(F.sequence(F.lit(1), F.size(own)), lambda at: run(own, at))), F.lit(0))
+    best = F.array_min(F.array_compact(runs))
+    return F.when(best.isNotNull() & (asked != ""), F.struct(best["first"].alias("first"), best["last"].alias("last")))

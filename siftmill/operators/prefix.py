@@ -57,3 +57,18 @@ def nearest_ranks(rows: DataFrame, group: list[str], value: str, percents: tuple
         return F.max(F.when((F.col("_n_before") < rank) & (rank <= F.col("_n_before") + F.col("_n")), F.col("_value"))).alias(f"p{p}")
 
     return ranked.groupBy(*group).agg(F.first("_n_total").alias("n"), *[at(p) for p in percents])
+
+
+def medians(rows: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group..., n, median): the middle value of each group, the mean of the two in the middle of an even number.
+
+    As :func:`nearest_ranks`, by running totals over counted values; NULL values are left out, NULL is a group.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_totals(counted, group, ["_value"], ["_n"])
+
+    def at(rank):
+        return F.max(F.when((F.col("_n_before") < rank) & (rank <= F.col("_n_before") + F.col("_n")), F.col("_value")))
+
+    n = F.col("_n_total")
+    return ranked.groupBy(*group).agg(F.first("_n_total").alias("n"), ((at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2).alias("median"))

@@ -137,14 +137,15 @@ HEADERS_SQL = f"WITH {TASKS} SELECT label, count(*) AS tasks, count(*) FILTER (s
 
 
 def compared_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The turns of conversation 0 against those of conversation 1."""
+    """The turns of every conversation against those of the one after it, as a fork of the same run."""
     turns = read_table(spark, sf_dir, "conversations")
-    side = lambda k: turns.where(F.col("conv_id") == k).select(F.col("turn").alias("sid"), F.col("role").alias("output"))
-    return G.compared_outputs(side(0), side(1).where("sid <> 0"))
+    side = lambda run: turns.select(run.alias("run"), F.col("turn").alias("sid"), F.col("text").alias("output"))
+    told = G.compared_outputs(side(F.col("conv_id")), side(F.col("conv_id") - 1), ["run"])
+    return told.select("run", "sid", F.md5("original").alias("original"), F.md5("fork").alias("fork"))
 
 
-COMPARED_SQL = """SELECT coalesce(a.turn, b.turn) AS sid, a.role AS original, b.role AS fork FROM (SELECT * FROM conversations WHERE conv_id = 0) a FULL JOIN (SELECT * FROM conversations WHERE conv_id = 1 AND turn <> 0) b ON a.turn = b.turn
-WHERE a.role IS DISTINCT FROM b.role"""
+COMPARED_SQL = """SELECT coalesce(a.conv_id, b.conv_id - 1) AS run, coalesce(a.turn, b.turn) AS sid, md5(a.text) AS original, md5(b.text) AS fork FROM conversations a FULL JOIN conversations b ON a.conv_id = b.conv_id - 1 AND a.turn = b.turn
+WHERE a.text IS DISTINCT FROM b.text"""
 
 
 def first_unused_call(spark: SparkSession, sf_dir: str) -> DataFrame:

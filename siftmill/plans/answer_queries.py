@@ -161,12 +161,12 @@ SELECT * FROM m WHERE needs <> ''"""
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as answers of two sentences: the first cites by the id, the second context 2."""
-    body = F.regexp_replace(F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\[\].!?\s]+", " "), 1, 60), "^ +| +$", "")
+    body = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\[\].!?\s]+", " "), "^ +| +$", "")
     answer = F.concat(F.lit("On this "), body, F.lit(" ["), (F.col("doc_id") % 6).cast("string"), F.lit(", 2]. Then "), F.coalesce("lang", F.lit("?")), F.lit(" [2]! End."))
     return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("answer_id"), answer.alias("answer"))
 
 
-ANSWERS = r"""a AS (SELECT doc_id AS answer_id, doc_id % 6 AS c, 'On this ' || trim(substr(regexp_replace(coalesce(text, ''), '[\[\].!?\s]+', ' ', 'g'), 1, 60), ' ') || ' [' || doc_id % 6 || ', 2].' AS one, 'Then ' || coalesce(lang, '?') || ' [2]!' AS two FROM documents)"""
+ANSWERS = r"""a AS (SELECT doc_id AS answer_id, doc_id % 6 AS c, 'On this ' || trim(regexp_replace(coalesce(text, ''), '[\[\].!?\s]+', ' ', 'g'), ' ') || ' [' || doc_id % 6 || ', 2].' AS one, 'Then ' || coalesce(lang, '?') || ' [2]!' AS two FROM documents)"""
 
 
 def resolved_citations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,10 +44,14 @@ def drop_lines(text: Column, patterns: list[str]) -> tuple[Column, Column]:
 def read_files(spark: SparkSession, folder: str, include: list[str] | None = None, exclude: list[str] = ()) -> DataFrame:
     """(source_file, content) of the files below a folder whose kind is known; others are passed over.
 
-    source_file is the path within the folder. A file is one row, read whole by one task; empty files have
-    no row.
+    source_file is the path within the folder. A file is one row, read whole by one task. Spark's reader has no
+    row for an empty file, so these are added from its list of paths, with empty content.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
+    listed = spark.createDataFrame([(re.sub(r"^(\w+):///", r"\1:/", p),) for p in read.inputFiles()], "listed string")
+    exact = F.url_decode(F.regexp_replace("listed", r"\+", "%2B"))
+    empty = listed.join(read.select(F.url_decode(F.regexp_replace("path", r"\+", "%2B")).alias("_path")), exact == F.col("_path"), "left_anti")
+    files = read.union(empty.select("listed", F.lit(b"").alias("content")))
     root = spark._jvm.org.apache.hadoop.fs.Path(folder)
     base = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/") + "/"
     own = files.select(F.expr("substring_index(path, '#', 1)").alias("path"), "content")

@@ -132,6 +132,9 @@ def test_drafts(spark):
     text = "one\ntwo  three\nfour\ntwo three four"
     assert one(spark, golden.quote_lines(F.lit(text), F.lit("two three"))) == (2, 2) and one(spark, golden.quote_lines(F.lit(text), F.lit("three four two"))) == (2, 4)
     assert one(spark, golden.quote_lines(F.lit(text), F.lit("five"))) is None
+    long = "\n".join(["a", "b", *[f"w{i}\n" for i in range(40)], "a", "b"])
+    assert one(spark, golden.quote_lines(F.lit(long), F.lit(" ".join(f"w{i}" for i in range(30))))) == (3, 61) and one(spark, golden.quote_lines(F.lit(long), F.lit("a  b"))) == (1, 2)
+    assert one(spark, golden.quote_lines(F.lit(long), F.lit(" "))) is None
     assert [one(spark, golden.no_answer_kind(F.lit(n))) for n in ("near-miss: soon", "odd", None)] == ["near-miss", "unlabelled", "unlabelled"]
     assert one(spark, golden.no_answer_kind(F.lit("near-miss: x"), F.lit("lookup"))) is None
     chunks = spark.createDataFrame([("a/x.md", 1, "c2"), ("a/x.md", 0, "c1"), ("a/y.md", 0, "c3"), ("z.md", 2, "c4")], "source_file string, ordinal int, chunk_id string")

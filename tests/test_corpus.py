@@ -33,6 +33,13 @@ def test_folder_to_chunks(spark, tmp_path):
         corpus.documents(spark.createDataFrame([("x.bin", b"y")], "source_file string, content binary")).collect()
 
 
+def test_empty_files(spark, tmp_path):
+    (tmp_path / "a b+c.md").write_text("")
+    (tmp_path / "d.txt").write_text("x")
+    got = {r.source_file: bytes(r.content) for r in corpus.read_files(spark, str(tmp_path)).collect()}
+    assert got == {"a b+c.md": b"", "d.txt": b"x"}
+
+
 def test_index_twice(spark):
     rows = [("a", "f", 0, [1.0, 0.0]), ("b", "f", 1, [1.0, 0.01]), ("c", "g", 0, [0.0, 1.0]), ("c", "g", 0, [0.0, 1.0])]
     df = spark.createDataFrame(rows, "chunk_id string, source_file string, ordinal int, embedding array<double>")
