@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.operators import overlap, rerank, trees
+from siftmill.operators import answers, closest, overlap, rerank, trees
 from siftmill.plans.text_queries import SHARED_RUN_SQL
 from siftmill.sources import jsonlines
 from siftmill.sources.tables import new_path, read_table
@@ -110,5 +110,34 @@ t AS (SELECT u.* FROM u QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY
 s AS (SELECT item_id, id, 1 / (1 + exp(length(t.text) / 1000 - len(list_intersect(list_distinct(regexp_extract_all(lower(q.text), '\\S+')), list_distinct(regexp_extract_all(lower(t.text), '\\S+')))))) AS score FROM t JOIN benchmark q USING (item_id))
 SELECT item_id, id, round(score, 9) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS place FROM s) WHERE place <= 5"""
 
-QUERIES = {f.__name__: f for f in (line_findings, latest_lines, tree_differences, verdict_cache, verdict_keys, reranked_hits)}
-ORACLES = {"line_findings": LINES_SQL, "latest_lines": LATEST_SQL, "tree_differences": TREE_SQL, "verdict_cache": CACHE_SQL, "verdict_keys": KEYS_SQL, "reranked_hits": RERANK_SQL}
+def closest_quote_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of documents that share six words with a benchmark item, the line that holds the most of it: SQL has no matching blocks."""
+    items, docs = read_table(spark, sf_dir, "benchmark"), read_table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    pairs = overlap.shared_runs(items, docs).select("item_id", "doc_id").join(docs.select("doc_id", F.col("text").alias("body")), "doc_id").join(items, "item_id")
+    return closest.closest_lines(pairs, ["item_id", "doc_id"], "text", "body").select("item_id", "doc_id", "line", F.round("score", 9).alias("score"))
+
+
+def stage_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of each stage by day: event types stand for stages, their values for milliseconds."""
+    rows = read_table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.create_map("event_type", "value").alias("timings_ms"))
+    return answers.latency(rows, ["day"]).select("day", "stage", "n", *[F.round(c, 3).alias(c) for c in ("p50", "p95")])
+
+
+STAGE_SQL = """WITH r AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS stage, value, row_number() OVER w AS i, count(*) OVER (PARTITION BY strftime(ts, '%Y-%m-%d'), event_type) AS n FROM events WHERE value IS NOT NULL
+  WINDOW w AS (PARTITION BY strftime(ts, '%Y-%m-%d'), event_type ORDER BY value))
+SELECT day, stage, n, round(max(value) FILTER (i = (n * 50 + 99) // 100), 3) AS p50, round(max(value) FILTER (i = (n * 95 + 99) // 100), 3) AS p95 FROM r GROUP BY day, stage, n"""
+
+
+def resumed_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers and event types that a second run asks again: those without a record, or whose last one is a low value."""
+    events = read_table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("mode"), "event_id", F.when(F.col("value") < 20, F.lit("low")).alias("error"))
+    modes = F.explode(F.array(*[F.lit(m) for m in ("view", "click", "purchase")])).alias("mode")
+    asked = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), modes)
+    return answers.resumable(asked, events, ["id", "mode"], "event_id")
+
+
+RESUMED_SQL = """WITH l AS (SELECT user_id AS id, event_type AS mode, arg_max(coalesce(value < 20, false), event_id) AS low FROM events GROUP BY ALL),
+a AS (SELECT c_custkey AS id, unnest(['view', 'click', 'purchase']) AS mode FROM customer) SELECT id, mode FROM a LEFT JOIN l USING (id, mode) WHERE low IS NULL OR low"""
+
+QUERIES = {f.__name__: f for f in (line_findings, latest_lines, tree_differences, verdict_cache, verdict_keys, reranked_hits, closest_quote_lines, stage_latency, resumed_collection)}
+ORACLES = {"line_findings": LINES_SQL, "latest_lines": LATEST_SQL, "tree_differences": TREE_SQL, "verdict_cache": CACHE_SQL, "verdict_keys": KEYS_SQL, "reranked_hits": RERANK_SQL, "stage_latency": STAGE_SQL, "resumed_collection": RESUMED_SQL}
