@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftmill.functions import text as T
 from siftmill.operators import bm25, overlap, retrieval_metrics
-from siftmill.sources.tables import read_table, spread
+from siftmill.sources.tables import read_table, spread, written
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,19 +101,27 @@ CONTAMINATED_SQL = f"""WITH {COVERED} SELECT source, count(*) AS n, count(c.doc_
 FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM cov) c USING (doc_id) GROUP BY source"""
 
 
-def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(question, rank, item): a source asks for its contained items; its hits are its longest covering documents."""
+#: Metrics look no further than this rank.
+TOP = 10
+
+
+def _covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(question, item, n_chars, doc_id): a source asks for its contained items; its hits are its longest covering documents."""
     docs = _docs(spark, sf_dir).select("doc_id", "source", "n_chars")
-    covered = covered_items(spark, sf_dir).join(docs, "doc_id")
-    rank = F.dense_rank().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
-    return covered.select(F.col("source").alias("question"), rank.alias("rank"), F.col("item_id").alias("item"))
+    return covered_items(spark, sf_dir).join(docs, "doc_id").select(F.col("source").alias("question"), F.col("item_id").alias("item"), "n_chars", "doc_id")
 
 
 def retrieval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall at 1, 3, 5, 10, MRR and nDCG at 10 of each source."""
-    ranked = _ranked(spark, sf_dir)
-    wanted = ranked.groupBy("question").agg(F.countDistinct("item").cast("long").alias("n_items"))
-    scores = retrieval_metrics.scores(wanted, ranked, (1, 3, 5, 10), 10)
+    """Recall at 1, 3, 5, 10, MRR and nDCG at 10 of each source.
+
+    Items are counted over all covering documents, with partial counts; ranks are cut at TOP where they are made, so
+    that each task sends a source's first documents only and no task orders all of them.
+    """
+    covered = written(_covered(spark, sf_dir), "covered")
+    wanted = covered.groupBy("question").agg(F.countDistinct("item").cast("long").alias("n_items"))
+    rank = F.dense_rank().over(Window.partitionBy("question").orderBy(F.desc("n_chars"), "doc_id"))
+    ranked = covered.withColumn("rank", rank).where(F.col("rank") <= TOP).select("question", "rank", "item")
+    scores = retrieval_metrics.scores(wanted, ranked, (1, 3, 5, 10), TOP)
     return scores.select("question", "n_items", *[F.round(c, 9).alias(c) for c in scores.columns[2:]])
 
 
@@ -131,15 +139,17 @@ SELECT w.question, n_items, round(f1 / n_items, 9) AS recall_at_1, round(f3 / n_
 
 
 def snippet_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items still contained when documents are cut to 150, 300 or no characters."""
-    items = read_table(spark, sf_dir, "benchmark").withColumnRenamed("text", "quote")
-    out = None
-    for cut in (150, 300, None):
-        docs = _docs(spark, sf_dir)
-        docs = docs if cut is None else docs.withColumn("text", F.substring("text", 1, cut))
-        one = overlap.contained_quotes(docs, items).agg(F.countDistinct("item_id").alias("found")).select(F.lit(cut or 0).alias("cut"), "found")
-        out = one if out is None else out.union(one)
-    return out
+    """Items still contained when documents are cut to 150, 300 or no characters.
+
+    What a cut text contains the whole one does, so containment is found once and its pairs are looked at again.
+    """
+    items, docs = read_table(spark, sf_dir, "benchmark").withColumnRenamed("text", "quote"), _docs(spark, sf_dir)
+    heads = docs.select("doc_id", *[T.normalize_ws(F.substring("text", 1, cut)).alias(f"_{cut}") for cut in (150, 300)])
+    pairs = overlap.contained_quotes(docs, items).join(heads, "doc_id").join(items.select("item_id", T.normalize_ws(F.col("quote")).alias("_quote")), "item_id")
+    held = F.array(F.struct(F.lit(0).alias("cut"), F.lit(True).alias("held")), *[F.struct(F.lit(cut).alias("cut"), F.contains(f"_{cut}", "_quote").alias("held")) for cut in (150, 300)])
+    found = pairs.select("item_id", F.inline(held)).where("held").groupBy("cut").agg(F.countDistinct("item_id").alias("found"))
+    cuts = spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in (150, 300, 0)])).alias("cut"))
+    return cuts.join(found, "cut", "left").select("cut", F.coalesce("found", F.lit(0)).alias("found"))
 
 
 SNIPPET_SQL = f"""WITH c AS (SELECT UNNEST([150, 300, 0]) AS cut),
