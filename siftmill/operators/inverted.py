@@ -11,18 +11,19 @@ as one segment; queries see the segments from the last merge on.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from siftmill.functions import text as T
 from siftmill.operators.bm25 import B, EPSILON, K1
-from siftmill.sources.tables import CLEAN_UP
+from siftmill.sources.tables import CLEAN_UP, remove, written_at
 
 #: Folders that postings are dealt to by the hash of the term.
 BUCKETS = 64
@@ -34,15 +35,26 @@ TERMS = "terms array<struct<term: string, tf: int>>"
 COMMIT = "segment int, base int, n long, tokens long"
 
 
-def _counted(tokens: DataFrame) -> DataFrame:
-    """(id, length, terms) of (id, tokens): each row's terms with their counts, in the row."""
+def _counted(rows: DataFrame) -> DataFrame:
+    """(id, length, terms) of (id, text), lower-cased: each row's tokens as :func:`siftmill.functions.text.bm25_tokens` gives
+    them, counted in the row. Tokens never leave the worker as lists; its answer is built column by column."""
+    word, compound = re.compile(T.WORD), re.compile(T.COMPOUND)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms = [[{"term": t, "tf": n} for t, n in Counter(own).items()] for own in batch["tokens"]]
-            yield pd.DataFrame({"id": batch["id"], "length": batch["tokens"].map(len), "terms": terms})
+            terms, counts, ends, lengths = [], [], [0], []
+            for text in batch.column("text").to_pylist():
+                own = Counter(word.findall(text))
+                own.update(compound.findall(text))
+                terms += own.keys()
+                counts += own.values()
+                ends.append(len(terms))
+                lengths.append(own.total())
+            pairs = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int32())], names=["term", "tf"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(lengths, pa.int32()), lists], names=["id", "length", "terms"])
 
-    return tokens.mapInPandas(count, f"id {dict(tokens.dtypes)['id']}, length int, {TERMS}")
+    return rows.select("id", F.lower("text").alias("text")).mapInArrow(count, f"id {dict(rows.dtypes)['id']}, length int, {TERMS}")
 
 
 def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
@@ -145,9 +157,14 @@ class InvertedIndex:
     def upsert(self, chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", order_col: str | None = None) -> None:
         """Inserts rows, or replaces those of the same identifier."""
         text = F.coalesce(F.col(text_col), F.lit(""))
-        last = F.max_by(text, F.struct(order_col, text)) if order_col else F.max(text)
-        once = chunks.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(last.alias("text"))
-        self._segment(_counted(once.select("id", T.bm25_tokens(F.col("text")).alias("tokens"))), self._in_force)
+        last = F.max_by("text", F.struct("order", "text")) if order_col else F.max("text")
+        rows = chunks.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text.alias("text"), *([F.col(order_col).alias("order")] if order_col else []))
+        # only the texts of repeated identifiers are gathered; of the others nothing is shuffled
+        twice, at = written_at(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "twice")
+        once = rows.join(twice, "id", "left_anti").select("id", "text")
+        resolved = rows.join(twice, "id", "left_semi").groupBy("id").agg(last.alias("text"))
+        self._segment(_counted(once.union(resolved)), self._in_force)
+        remove(self.spark, at)
 
     def delete(self, ids: DataFrame, id_col: str = "chunk_id") -> None:
         """Puts the rows of these identifiers out of force."""
