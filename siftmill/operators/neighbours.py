@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 SAMPLE, SAMPLE_BYTES, ROUNDS = 16_384, 1 << 26, 8
 #: Lists at most: what a task holds of the centroids is this many vectors. Fewer: the root of the vectors' number.
 MOST_LISTS = 4096
-#: Vectors of a list compared at once with as many queries.
-BLOCK = 2048
+#: Vectors of a list compared at once with as many queries; bytes of vectors that a task sends on at a time.
+BLOCK, SENT_BYTES = 512, 1 << 22
 #: Added to angles, against rounding.
 SLACK = 1e-6
 
@@ -111,7 +111,11 @@ class NeighbourIndex:
                     part = batch.iloc[at : at + BLOCK]
                     x = np.stack(part["vector"].to_numpy())
                     chosen = choose(x / np.linalg.norm(x, axis=1, keepdims=True) @ centres.T)
-                    yield part.assign(list=chosen).explode("list").dropna(subset=["list"]).astype({"list": np.int32})
+                    rows = np.repeat(np.arange(len(part)), [len(c) for c in chosen])
+                    lists = np.array([i for c in chosen for i in c], np.int32)
+                    step = max(1, SENT_BYTES // (8 * x.shape[1]))  # a vector in many lists is many rows
+                    for i in range(0, len(rows), step):
+                        yield part.iloc[rows[i : i + step]].assign(list=lists[i : i + step])
 
         return own.mapInPandas(run, f"id {kind}, vector array<double>, list int")
 
