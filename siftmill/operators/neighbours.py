@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 SAMPLE, SAMPLE_BYTES, ROUNDS = 16_384, 1 << 26, 8
 #: Lists at most: what a task holds of the centroids is this many vectors. Fewer: the root of the vectors' number.
 MOST_LISTS = 4096
-#: Vectors of a list compared at once with as many queries; bytes of vectors that a task sends on at a time.
-BLOCK, SENT_BYTES = 512, 1 << 22
+#: Vectors of a list compared at once, with so many queries (a task has 2^21 cosines at a time); bytes of vectors that a
+#: task sends on at a time. Queries are many where lists are within reach of all of them, so their blocks are larger:
+#: a list's vectors are sent once a block of queries.
+BLOCK, ASKED_BLOCK, SENT_BYTES = 256, 8192, 1 << 22
 #: Added to angles, against rounding.
 SLACK = 1e-6
 
@@ -125,8 +127,8 @@ class NeighbourIndex:
         Lists are cut into blocks by the number of their vectors and of their queries, so a hot list is many tasks.
         """
         kind, asked_kind = dict(self.vectors().dtypes)["id"], dict(asked.dtypes)["id"]
-        parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-        sizes = self.lists().join(asked.groupBy("list").agg(F.count(F.lit(1)).alias("asked")), "list").select("list", parts("n").alias("rows"), parts("asked").alias("columns"))
+        parts = lambda n, block: F.ceil(F.col(n) / block).cast("int")
+        sizes = self.lists().join(asked.groupBy("list").agg(F.count(F.lit(1)).alias("asked")), "list").select("list", parts("n", BLOCK).alias("rows"), parts("asked", ASKED_BLOCK).alias("columns"))
         sizes = F.broadcast(sizes)  # a row a list, MOST_LISTS at most
 
         def dealt(df: DataFrame, own: str, other: str) -> DataFrame:

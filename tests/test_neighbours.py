@@ -18,7 +18,8 @@ def frame(spark, x, prefix=""):
 
 
 def test_recall_and_exact_search(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BLOCK", 100)
+    monkeypatch.setattr(neighbours, "BLOCK", 20)
+    monkeypatch.setattr(neighbours, "ASKED_BLOCK", 9)
     x = clustered(1500)
     rows = frame(spark, x)
     index = NeighbourIndex(spark, new_path(spark, "n")).build(rows.where("chunk_id % 3 > 0"))
