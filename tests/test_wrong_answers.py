@@ -5,7 +5,7 @@ from fractions import Fraction
 
 from pyspark.sql import functions as F
 
-from siftmill.operators import evaluation, golden, reports
+from siftmill.operators import evaluation, golden, logs, reports
 
 
 def exact(a, b):
@@ -35,3 +35,9 @@ def test_groups_without_a_name_have_percentiles(spark):
     records = spark.createDataFrame([(i, None, "dev", None if i % 2 else "a", float(i)) for i in range(10)], "id int, lang string, split string, arm string, ms double")
     told = reports.ablation_arms(records, ["id"], ["ms"]).collect()
     assert {r.arm: (r.ms_p50, r.ms_p95) for r in told} == {None: (5.0, 9.0), "a": (4.0, 8.0)}
+
+
+def test_a_ceiling_of_cost_is_reached_exactly(spark):
+    calls = spark.createDataFrame([(i, "a", 0.1) for i in range(12)] + [(i, "b", c) for i, c in enumerate((None, 1e300, 1.0))], "id int, task string, cost double")
+    over = logs.over_ceiling(calls, "task", "cost", ["id"], 0x7FFFFFFF, 1.0).collect()
+    assert sorted((r.task, r.id, round(r.cost_before, 9)) for r in over) == [("a", 10, 1.0), ("a", 11, 1.1), ("b", 2, 1e300)]
