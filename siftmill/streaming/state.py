@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from decimal import Context, Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -20,6 +21,8 @@ from siftmill.streaming.events import DELAY
 
 #: Fixed value: seconds that a task's working memory lives after its last write.
 TTL_SECONDS = 86_400
+#: Costs are added with fifty digits; what isn't finite makes no error.
+EXACT = Context(prec=50, traps=[])
 
 
 def in_order(events: DataFrame, key: str, fields: list[str], result: str, step: Callable[[dict, dict], tuple], ttl_seconds: int | None = None, time: str = "ts", number: str = "event_id", delay: str = DELAY) -> DataFrame:
@@ -109,13 +112,15 @@ def ceilings(calls: DataFrame, max_calls: int, max_cost: float, task: str = "tas
     """(task, number, calls_before, cost_before, admitted) of each call of a stream, in order; 0 lifts a ceiling.
 
     A call is refused once the admitted calls, or their cost, have reached a ceiling; refused calls don't count.
+    Costs are added as decimals, so ten calls at 0.1 have reached 1.
     """
 
     def admit(known: dict, row: dict) -> tuple:
-        n, spent = known.get("calls", 0), known.get("cost", 0.0)
+        n, exact = known.get("calls", 0), Decimal(str(known.get("cost", 0)))
+        spent = float(exact)
         refused = (max_calls and n >= max_calls) or (max_cost and spent >= max_cost)
         if not refused:
-            known["calls"], known["cost"] = n + 1, spent + (row[cost] or 0.0)
+            known["calls"], known["cost"] = n + 1, str(EXACT.add(exact, Decimal(str(row[cost] or 0))))
         return n, spent, not refused
 
     return in_order(calls, task, [cost], "calls_before long, cost_before double, admitted boolean", admit, None, time, number, delay)

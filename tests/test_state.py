@@ -103,3 +103,9 @@ def test_a_batch_run_twice_is_written_once(spark):
     sinks.idempotent_append(source(), out, check, sinks.trace_rows)
     kept = sinks.appended(spark, out, "mode string, prompt_tokens long, refused boolean")
     assert sorted(r.prompt_tokens for r in kept.collect()) == list(range(100)) and kept.where("mode = 'dense' AND NOT refused").count() == 100
+
+
+def test_a_ceiling_of_cost_is_reached_exactly(spark):
+    rows = [(i, 1_700_000_000.0 + 60 * i, "a", None, "web", "success", 0.1) for i in range(14)] + [(14, 1_700_100_000.0, "b", None, "web", "success", None)]
+    got = run(spark, lambda s: state.ceilings(s, 0, 1.0), rows, 2, False).where("NOT admitted").collect()
+    assert {(r.event_id, r.calls_before, r.cost_before) for r in got} == {(i, 10, 1.0) for i in range(10, 14)}
