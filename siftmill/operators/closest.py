@@ -25,25 +25,41 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
+def _longest(line: str, quote: str) -> tuple[int, int, int]:
+    """The longest common stretch of two texts: its length, where it begins in the line (the first) and in the quote (the first).
+
+    A stretch of a length is looked up among the quote's of that length; lengths are doubled, then halved in between.
+    """
+
+    def first(n: int) -> int:
+        known = {quote[i : i + n] for i in range(len(quote) - n + 1)}
+        return next((i for i in range(len(line) - n + 1) if line[i : i + n] in known), -1)
+
+    if quote in line:
+        return len(quote), line.find(quote), 0
+    most, least, at, n = min(len(line), len(quote)), 0, -1, 1
+    while n <= most:
+        found = first(n)
+        if found < 0:
+            most = n - 1
+        else:
+            least, at, n = n, found, 2 * n
+    while least < most:
+        n = (least + most + 1) // 2
+        found = first(n)
+        least, at, most = (n, found, most) if found >= 0 else (least, at, n - 1)
+    return least, at, quote.find(line[at : at + least]) if least else 0
+
+
 def held(line: np.ndarray, quote: np.ndarray) -> int:
     """Characters of the matching blocks of two texts given as code points."""
-    total, parts = 0, [(0, len(line), 0, len(quote))]
+    total, parts = 0, [tuple(x.tobytes().decode("utf-32-le") for x in (line, quote))]
     while parts:
-        a, b, c, d = parts.pop()
-        best = (0, 0, 0)  # length, end in the line, end in the quote
-        ending = np.zeros(d - c + 1, np.int64)
-        part = quote[c:d]
-        for i in range(a, b):
-            new = np.zeros_like(ending)
-            new[1:] = np.where(part == line[i], ending[:-1] + 1, 0)
-            j = int(new.argmax())
-            if new[j] > best[0]:
-                best = (int(new[j]), i + 1, c + j)
-            ending = new
-        n, e, f = best
+        a, b = parts.pop()
+        n, i, j = _longest(a, b)
         if n:
             total += n
-            parts += [p for p in ((a, e - n, c, f - n), (e, b, f, d)) if p[0] < p[1] and p[2] < p[3]]
+            parts += [p for p in ((a[:i], b[:j]), (a[i + n :], b[j + n :])) if p[0] and p[1]]
     return total
 
 

@@ -1,6 +1,7 @@
 """Closest lines against Python's own matching blocks."""
 
 import random
+import time
 from difflib import SequenceMatcher
 
 from siftmill.operators import closest
@@ -38,3 +39,13 @@ def test_closest_lines(spark):
     df = spark.createDataFrame([*pairs, (98, "k", None, "x"), (99, "k", "x", None)], "i int, k string, quote string, body string")
     got = {r.i: (r.line, r.text, round(r.score, 9)) for r in closest.closest_lines(df, ["i", "k"], "quote", "body").collect()}
     assert got == want and len(want) > 10
+
+
+def test_long_lines():
+    """A line of 200,000 characters: no step of an interpreter for each of them and each part of the quote."""
+    rng = random.Random(3)
+    line = "".join(rng.choice("etaoin shrdlu") for _ in range(200_000))
+    quote = line[150_000:150_100] + "#" + line[150_101:150_300]
+    start = time.process_time()
+    assert closest.held(closest._codes(line), closest._codes(quote)) == 299
+    assert time.process_time() - start < 2
