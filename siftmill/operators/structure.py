@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftmill.functions.batches import parts
+
 # The elements that carry text, those that are dropped and those without an end tag.
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 TEXT_TAGS = ("p", "li", "pre", "td")
@@ -125,12 +127,14 @@ def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     own = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
     kind = own.schema["id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(i, n, *section) for i, html in zip(batch["id"], batch["html"]) for n, section in enumerate(html_sections(html))]
-            yield pd.DataFrame(rows, columns=["id", "ordinal", "heading", "path", "text"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in parts(whole, "html")):
+            rows = [(i, n, *section) for i, html in zip(batch.column("id").to_pylist(), batch.column("html").to_pylist()) for n, section in enumerate(html_sections(html))]
+            kinds = [batch.schema.field("id").type, pa.int64(), pa.string(), pa.list_(pa.string()), pa.string()]
+            columns = zip(*rows) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "ordinal", "heading", "path", "text"])
 
-    return own.mapInPandas(run, f"id {kind}, ordinal long, heading string, path array<string>, text string").withColumnRenamed("id", id_col)
+    return own.mapInArrow(run, f"id {kind}, ordinal long, heading string, path array<string>, text string").withColumnRenamed("id", id_col)
 
 
 def merged(parts: Column, size: int, joiner: str) -> Column:

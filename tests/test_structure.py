@@ -32,3 +32,12 @@ def test_text_functions(spark):
     got = df.select(T.citation_indices(F.col("answer")).alias("n"), T.redact(F.col("secret")).alias("r")).collect()
     assert got[0].n == [2, 1] and got[1].n == []
     assert got[0].r == "my_password = [redacted] ok" and got[1].r == "nothing here"
+
+
+def test_pages_are_parsed_in_bounded_parts(spark, monkeypatch):
+    from siftmill.functions import batches
+
+    monkeypatch.setattr(structure, "parts", lambda batch, column: batches.parts(batch, column, 100))
+    pages = spark.createDataFrame([(i, f"<h1>t{i}</h1><p>{'x' * i}</p>" if i % 7 else None) for i in range(60)], "page_id long, html string")
+    got = {r.page_id: (r.ordinal, r.heading, list(r.path), r.text) for r in structure.html_blocks(pages).collect()}
+    assert got == {i: (0, f"t{i}", [f"t{i}"], "x" * i) for i in range(60) if i % 7}
