@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from siftmill.functions import text as T
+from siftmill.functions.batches import parts
 from siftmill.operators.bm25 import B, EPSILON, K1
 from siftmill.sources.tables import CLEAN_UP, remove, written_at
 
@@ -37,11 +38,12 @@ COMMIT = "segment int, base int, n long, tokens long"
 
 def _counted(rows: DataFrame) -> DataFrame:
     """(id, length, terms) of (id, text), lower-cased: each row's tokens as :func:`siftmill.functions.text.bm25_tokens` gives
-    them, counted in the row. Tokens never leave the worker as lists; its answer is built column by column."""
+    them, counted in the row. Tokens never leave the worker as lists; its answer is built column by column, for texts
+    of bounded size at a time."""
     word, compound = re.compile(T.WORD), re.compile(T.COMPOUND)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, "text")):
             terms, counts, ends, lengths = [], [], [0], []
             for text in batch.column("text").to_pylist():
                 own = Counter(word.findall(text))

@@ -1,9 +1,11 @@
 """The kept index against one built anew, its plan, failed writes and merges."""
 
+import pyarrow as pa
 import pytest
 
+from siftmill.functions import batches
 from siftmill.functions import text as T
-from siftmill.operators import bm25
+from siftmill.operators import bm25, inverted
 from siftmill.operators.inverted import InvertedIndex
 from siftmill.sources.tables import new_path
 from pyspark.sql import functions as F
@@ -81,3 +83,14 @@ def test_a_query_reads_its_terms_only(spark, index):
     plan = index.postings_of(["queue"])._jdf.queryExecution().toString()
     assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0] and "In(term" in plan.replace("EqualTo(term", "In(term")
     assert "regexp" not in index.search("queue the")._jdf.queryExecution().toString()
+
+
+def test_texts_are_counted_in_bounded_parts(spark):
+    texts = ["x" * n for n in (0, 5, 900, 10, 3000, 1, 1, 1)] + [None]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(9)), "text": pa.array(texts, pa.string())})
+    cut = [p.column("text").to_pylist() for p in batches.parts(batch, "text", 1000)]
+    assert sum(cut, []) == texts and all(sum(len(t or "") for t in c) <= 2000 for c in cut if 3000 not in map(len, filter(None, c)))
+    assert list(batches.parts(batch.slice(0, 0), "text")) == []
+    rows = spark.range(40).selectExpr("id", "repeat(concat('w', id, ' '), 20000) text").coalesce(1)
+    counted = inverted._counted(rows)
+    assert {(r.id, r.length, r.terms[0].tf) for r in counted.collect()} == {(i, 20000, 20000) for i in range(40)}
