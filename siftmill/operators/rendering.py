@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.functions import text as T
+from siftmill.functions.batches import parts
+from siftmill.sources.tables import written
 
 # Sizes of digests and receipts, and the words for the outcomes of calls.
 DIGEST_LINES, DIGEST_CHARS, RECEIPT_CHARS = 3, 600, 200
@@ -69,13 +78,38 @@ def token_hash_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The vector of a text stands in for an embedding model's: it counts the words at their positions and has
     length 1. NULL texts and texts without words have no rows. Rows that share an identifier count as one
-    text; NULL identifiers too.
+    text; NULL identifiers too. Words are counted in their row; only the places of repeated identifiers are shuffled.
     """
-    words = docs.select(F.col(id_col).alias("id"), F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(T.WORD), F.lit(0))).alias("word"))
-    counted = words.groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
-    places = counted.groupBy("id", token_position(F.col("word"), dim).alias("position")).agg(F.sum("n").alias("n"))
+    own = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text"))
+    twice = written(own.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "twice")
+    repeated = F.col("id").eqNullSafe(F.col("_id"))
+    twice = twice.select(F.col("id").alias("_id"))
+    once = _places(own.join(twice, repeated, "left_anti"), dim)
     # at most dim places an identifier
-    vectors = places.groupBy("id").agg(F.collect_list(F.struct("position", "n")).alias("places"), F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("length"))
-    return vectors.select(F.col("id").alias(id_col), F.explode("places").alias("place"), "length").select(
+    gathered = _places(own.join(twice, repeated, "left_semi"), dim).select("id", F.explode("places").alias("place")).groupBy("id", "place.position").agg(F.sum("place.n").alias("n"))
+    vectors = once.union(gathered.groupBy("id").agg(F.collect_list(F.struct("position", "n")).alias("places")))
+    length = F.sqrt(F.aggregate("places", F.lit(0).cast("long"), lambda s, p: s + p["n"] * p["n"]).cast("double"))
+    return vectors.select(F.col("id").alias(id_col), F.explode("places").alias("place"), length.alias("length")).select(
         id_col, "place.position", (F.col("place.n") / F.col("length")).alias("value")
     )
+
+
+def _places(rows: DataFrame, dim: int) -> DataFrame:
+    """(id, places) of (id, text), lower-cased: how often each row's words are at each of their positions."""
+    word, kind = re.compile(T.WORD), dict(rows.dtypes)["id"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        position = lru_cache(1 << 16)(lambda w: int.from_bytes(hashlib.md5(w.encode(), usedforsecurity=False).digest(), "big") % dim)
+        for batch in (part for whole in batches for part in parts(whole, "text")):
+            at, n, ends = [], [], [0]
+            for text in batch.column("text").to_pylist():
+                own = Counter()
+                for w, times in Counter(word.findall(text or "")).items():
+                    own[position(w)] += times
+                at += own.keys()
+                n += own.values()
+                ends.append(len(at))
+            pairs = pa.StructArray.from_arrays([pa.array(at, pa.int64()), pa.array(n, pa.int64())], names=["position", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], names=["id", "places"])
+
+    return rows.mapInArrow(count, f"id {kind}, places array<struct<position: long, n: long>>")

@@ -92,3 +92,13 @@ def test_outcomes_and_digest(spark):
     df = spark.createDataFrame([(["zero", "one  two", "x" * 30, "last"],), ([],)], "lines array<string>")
     got = [r.d for r in df.select(rendering.transcript_digest(F.col("lines"), 3, 32).alias("d")).collect()]
     assert got == ["one two\n" + "x" * 9 + "…\nlast", ""]
+
+
+def test_words_are_counted_in_their_row(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "B c"), (None, "a"), (None, "a"), (2, "Zoo zoo"), (3, None)], "doc_id long, text string")
+    found = rendering.token_hash_vectors(docs, dim=1 << 20)
+    at = {w: int(hashlib.md5(w.encode()).hexdigest(), 16) % (1 << 20) for w in ("a", "b", "c", "zoo")}
+    root = math.sqrt(6)
+    want = {(1, at["a"], 1 / root), (1, at["b"], 2 / root), (1, at["c"], 1 / root), (None, at["a"], 1.0), (2, at["zoo"], 1.0)}
+    assert {(r.doc_id, r.position, round(r.value, 9)) for r in found.collect()} == {(i, p, round(v, 9)) for i, p, v in want}
+    assert "word" not in found._jdf.queryExecution().optimizedPlan().toString()
