@@ -78,3 +78,16 @@ def test_batches(spark, seed):
     assert told.first().asDict() == {"sources": 1, "chunks": len(batch), "skipped": skipped, "duplicates": duplicates, "added": len(added)}
     assert "aa" not in added  # equal to the earlier zz: the first of the batch stays, not the least identifier
     assert index.vectors().count() == 40 + len(added - {"n1", "n2", "o"})
+
+
+def test_beaten_asks_the_nearest_list_first(spark):
+    """The same queries as by all lists; only those that are above nothing in their nearest list go on, and a block sends a query once."""
+    x = clustered(600, 5)
+    rows = frame(spark, x)
+    index = NeighbourIndex(spark, new_path(spark, "n")).build(rows.where("chunk_id % 3 = 0"))
+    asked = rows.where("chunk_id % 3 > 0")
+    for threshold in (0.5, 0.95):
+        every = index.above(asked, threshold)
+        got = [r["query"] for r in index.beaten(asked, threshold).collect()]
+        assert len(got) == len(set(got)) and set(got) == {r["query"] for r in every.select("query").distinct().collect()}
+        assert index.above(asked, threshold, probes=1, once=True).count() <= len(got) <= every.count()
