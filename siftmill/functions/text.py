@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 # Patterns that define the token classes.
 WORD = r"[a-z0-9]+"
-COMPOUND = r"[a-z0-9]+(?:[._-][a-z0-9]+)+"
+# A word without a mark after it is given up at once, not tried again from each of its letters; a long compound takes no stack.
+COMPOUND = r"(?<![a-z0-9])[a-z0-9]++(?:[._-][a-z0-9]++)++"
 
 
 def normalize_text(text: Column) -> Column:

@@ -33,19 +33,22 @@ def term_stats(docs: DataFrame, tokens: str = "tokens", id_col: str = "id") -> D
 
 
 def term_counts(docs: DataFrame, terms: list[str], tokens: str = "tokens", id_col: str = "id") -> DataFrame:
-    """(id, length, tf): the number of tokens of each row and of each of ``terms`` among them, in their order."""
+    """(id, length, tf, terms): the number of tokens of each row and of each of ``terms`` among them, in their order;
+    the row's different tokens."""
     split = docs.select(id_col, F.coalesce(F.col(tokens), F.array().cast("array<string>")).alias("_tokens"))
     n = F.size("_tokens")
-    return split.select(id_col, n.alias("length"), F.array(*[n - F.size(F.array_remove("_tokens", t)) for t in terms]).alias("tf"))
+    tf = F.array(*[n - F.size(F.array_remove("_tokens", t)) for t in terms])
+    return split.select(id_col, n.alias("length"), tf.alias("tf"), F.array_distinct("_tokens").alias("terms"))
 
 
 def bm25_scores(docs: DataFrame, query_terms: list[str], tokens: str = "tokens", id_col: str = "id") -> DataFrame:
     """(id, score) of every document; documents without a query term score 0; repeated query terms count again.
 
-    One pass over the tokens leaves a row of numbers a document, written to the shared folder. The driver
-    reads one row of corpus figures off it, so scores are plain arithmetic in the scan of that small table.
-    Only if a query term is in over half the documents is the mean idf of the whole vocabulary needed, and
-    the terms are counted in a second pass. NULL tokens count as none.
+    One pass over the tokens leaves a row a document, written to the shared folder: its numbers, and its
+    different terms in a column of their own. The driver reads one row of corpus figures off it, so scores are
+    plain arithmetic in the scan of the numbers. Only if a query term is in over half the documents is the mean
+    idf of the whole vocabulary needed, and the column of terms is read. Nothing is tokenised again. NULL tokens
+    count as none.
     """
     terms = list(dict.fromkeys(query_terms))
     if not terms:
@@ -55,7 +58,7 @@ def bm25_scores(docs: DataFrame, query_terms: list[str], tokens: str = "tokens",
     corpus = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avgdl"), *seen).first()
     idf = [math.log(corpus["n"] - corpus[f"df{i}"] + 0.5) - math.log(corpus[f"df{i}"] + 0.5) for i in range(len(terms))]
     if min(idf) < 0:
-        df = docs.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        df = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         mean = df.agg(F.avg(F.log(F.lit(corpus["n"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("mean")).first()["mean"]
         idf = [EPSILON * mean if x < 0 else x for x in idf]
     norm = F.lit(1 - B) + F.lit(B / corpus["avgdl"]) * F.col("length") if corpus["avgdl"] else F.lit(1.0)

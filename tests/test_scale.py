@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from siftmill.functions import text as T
 from siftmill.operators import bm25, evaluation, logs, memory, overlap, prefix, ranking
 
 
@@ -83,3 +85,27 @@ def test_spanning_links_keep_components(spark):
     some = memory.similar_pairs(df, ["g"], "id", "v", 0.9, block=16, spanning=True)
     a, b = ({r.id: r.component for r in memory.components(df.select("id"), p, "id").collect()} for p in (full, some))
     assert a == b and some.count() < full.count()
+
+
+def test_bm25_reads_the_tokens_once(spark):
+    """With a term in over half the rows, which needs the mean idf of the vocabulary, too."""
+    read = spark.sparkContext.accumulator(0)
+
+    def words(text):
+        read.add(1)
+        return text.split()
+
+    docs = spark.createDataFrame([(i, f"the word{i} the") for i in range(20)], "id int, text string")
+    scores = bm25.bm25_scores(docs.select("id", F.udf(words, "array<string>")("text").alias("tokens")), ["the"]).collect()
+    assert len({r.score for r in scores}) == 1 and scores[0].score > 0 and read.value == 20
+
+
+def test_compounds(spark):
+    """As the plain pattern finds them; one of many parts takes no stack."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab1._-é A") for _ in range(rng.randrange(60))) for _ in range(2000)]
+    plain = re.compile(r"[a-z0-9]+(?:[._-][a-z0-9]+)+")
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", T.bm25_tokens(F.col("text")).alias("t")).collect()
+    assert {r.i: r.t for r in got} == {i: re.findall("[a-z0-9]+", t.lower()) + plain.findall(t.lower()) for i, t in enumerate(texts)}
+    long = spark.range(1).select(F.size(T.bm25_tokens(F.repeat(F.lit("ab-"), 100_000))).alias("n"))
+    assert long.first().n == 100_001
