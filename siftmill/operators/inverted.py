@@ -11,18 +11,13 @@ as one segment; queries see the segments from the last merge on.
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from siftmill.functions import text as T
-from siftmill.functions.batches import parts
 from siftmill.operators.bm25 import B, EPSILON, K1
 from siftmill.sources.tables import CLEAN_UP, remove, written_at
 
@@ -37,26 +32,14 @@ COMMIT = "segment int, base int, n long, tokens long"
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """(id, length, terms) of (id, text), lower-cased: each row's tokens as :func:`siftmill.functions.text.bm25_tokens` gives
-    them, counted in the row. Tokens never leave the worker as lists; its answer is built column by column, for texts
-    of bounded size at a time."""
-    word, compound = re.compile(T.WORD), re.compile(T.COMPOUND)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in parts(whole, "text")):
-            terms, counts, ends, lengths = [], [], [0], []
-            for text in batch.column("text").to_pylist():
-                own = Counter(word.findall(text))
-                own.update(compound.findall(text))
-                terms += own.keys()
-                counts += own.values()
-                ends.append(len(terms))
-                lengths.append(own.total())
-            pairs = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int32())], names=["term", "tf"])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(lengths, pa.int32()), lists], names=["id", "length", "terms"])
-
-    return rows.select("id", F.lower("text").alias("text")).mapInArrow(count, f"id {dict(rows.dtypes)['id']}, length int, {TERMS}")
+    """(id, length, terms) of (id, text): each row's tokens as :func:`siftmill.functions.text.bm25_tokens` gives them, counted
+    in the row by Spark's own expressions, so no text goes to a Python worker. Tokens are sorted; where one differs from the
+    token before it, a term begins, which ends where the next one begins."""
+    tokens = rows.select("id", F.sort_array(T.bm25_tokens(F.col("text"))).alias("tokens"))
+    begins = F.transform("tokens", lambda token, i: F.when((i == 0) | (token != F.get("tokens", i - 1)), i))
+    begun = tokens.select("id", "tokens", F.size("tokens").alias("length"), F.array_compact(begins).alias("begins"))
+    tf = lambda i, k: F.coalesce(F.get("begins", k + 1), F.col("length")) - i
+    return begun.select("id", "length", F.transform("begins", lambda i, k: F.struct(F.get("tokens", i).alias("term"), tf(i, k).alias("tf"))).alias("terms"))
 
 
 def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:

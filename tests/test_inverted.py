@@ -1,5 +1,7 @@
 """The kept index against one built anew, its plan, failed writes and merges."""
 
+from collections import Counter
+
 import pyarrow as pa
 import pytest
 
@@ -94,3 +96,12 @@ def test_texts_are_counted_in_bounded_parts(spark):
     rows = spark.range(40).selectExpr("id", "repeat(concat('w', id, ' '), 20000) text").coalesce(1)
     counted = inverted._counted(rows)
     assert {(r.id, r.length, r.terms[0].tf) for r in counted.collect()} == {(i, 20000, 20000) for i in range(40)}
+
+
+def test_texts_are_counted_without_python_workers(spark):
+    texts = ["b a-b a b b.c a-b", "", "x", "A a a._b ..", "été 1.2.3 1.2 1", "z z " * 3]
+    counted = inverted._counted(spark.createDataFrame(list(enumerate(texts)), "id int, text string"))
+    assert "InArrow" not in counted._jdf.queryExecution().toString() and "Python" not in counted._jdf.queryExecution().toString()
+    want = {r.id: Counter(r.tokens) for r in spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", T.bm25_tokens(F.col("text")).alias("tokens")).collect()}
+    assert {r.id: (r.length, {t.term: t.tf for t in r.terms}, len(r.terms)) for r in counted.collect()} == {i: (own.total(), dict(own), len(own)) for i, own in want.items()}
+    assert want[0] == {"a": 3, "b": 5, "c": 1, "a-b": 2, "b.c": 1}
