@@ -40,7 +40,8 @@ def numbered_lines(spark: SparkSession, *paths: str, named: bool = False) -> Dat
 
 def records(lines: DataFrame) -> DataFrame:
     """(path, line, record, error) of the lines that aren't blank: a variant, or NULL and why there is none."""
-    told = lines.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").withColumn("record", F.try_parse_json("text"))
+    # an exploded record is parsed once; a plain column is parsed by each condition and column that reads it
+    told = lines.where(F.regexp_like("text", F.lit(r"\S"))).select("path", "line", F.explode(F.array(F.try_parse_json("text"))).alias("record"))
     kind = F.schema_of_variant("record")
     error = F.when(F.col("record").isNull(), "invalid JSON").when(~kind.startswith("OBJECT"), "not a JSON object")
     return told.select("path", "line", F.when(error.isNull(), F.col("record")).alias("record"), error.alias("error"))

@@ -80,6 +80,18 @@ def test_logs_of_many_users_are_few_files(spark, tmp_path):
     assert len(list(newest.glob("*.txt"))) <= 8
 
 
+def test_a_line_is_parsed_once(spark):
+    texts = ['{"id": "a"}', " \t\x0b", "", None, "{bad", "[1]", "null", '\u00a0', '"x"', '{"id": "b"} ']
+    found = jsonlines.records(spark.createDataFrame([("p", i, t) for i, t in enumerate(texts)], "path string, line long, text string"))
+    assert {r.line: (r.record and r.record.toJson(), r.error) for r in found.collect()} == {
+        0: ('{"id":"a"}', None), 4: (None, "invalid JSON"), 5: (None, "not a JSON object"), 6: (None, "not a JSON object"),
+        7: (None, "invalid JSON"), 8: (None, "not a JSON object"), 9: ('{"id":"b"}', None),
+    }
+    last = jsonlines.latest_records(found, {"id": "$.id string"})
+    assert {(r.id, r.line) for r in last.collect()} == {("a", 0), ("b", 9)}
+    assert last._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
 def test_tree_differences(spark):
     a = {"x": 1, "y": {"z": [1, {"q": None}], "e": {}}, "t": "1", "r": 1.50, "same": [True]}
     b = {"x": 2, "y": {"z": [1, {"q": 0}, 3], "e": {}}, "t": 1, "r": 1.5, "same": [True]}
